@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, merkle, mixing, quality, simhash, tokens_out, viterbi, warc
+from . import bpe, ctw, langid, merkle, mixing, quality, simhash, tokens_out, viterbi, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_token_counts(spark, sf_dir):
     return viterbi.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     model = langid.TextModel.fit(table(spark, sf_dir, "documents"))
     return langid.identify_pages(table(spark, sf_dir, "pages"), model)
@@ -50,6 +54,7 @@ _ALL = (
     op4_token_output,
     op5_source_mixing,
     op6_token_counts,
+    op7_lm_scoring,
     op8_language_id,
     op9_document_fingerprints,
     op10_simhash_near_dedup,
