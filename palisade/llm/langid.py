@@ -29,6 +29,8 @@ BINS, SMOOTH, TEMPER = 1 << 15, 0.5, 0.25
 #: Weight, in rows, of the next wider level in a host's, domain's or suffix's prior; and of agreement in declarations.
 ALPHA, BETA = 10.0, 1.0
 MIN_POSTERIOR = 0.6
+#: The one language of a model fitted on no rows.
+NO_LANGUAGE = "und"
 _DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""")
 _LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
@@ -55,7 +57,7 @@ class TextModel:
     """Log likelihoods of trigrams by language."""
 
     def __init__(self, rows: list[tuple[str, str]]):
-        self.languages = sorted({lang for _, lang in rows})
+        self.languages = sorted({lang for _, lang in rows}) or [NO_LANGUAGE]
         counts = np.full((len(self.languages), BINS), SMOOTH)
         for text, lang in rows:
             counts[self.languages.index(lang)] += np.bincount(trigram_bins(text), minlength=BINS)
@@ -141,7 +143,7 @@ class Fusion:
         found = found.withColumn("logs", F.array(*(F.log(F.col("prior")[i]) + F.col("said_ll")[i] + text[i] for i in each)))
         named = F.array(*map(F.lit, self.languages))
         mass = F.aggregate(F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))), F.lit(0.0), lambda a, x: a + x)
-        at = lambda i: F.element_at(named, (i + 1).cast("int"))
+        at = lambda i: F.when(i.isNotNull(), F.element_at(named, (i + 1).cast("int")))
         return found.select(*keep, at(F.col("best")).alias("text_lang"), at(_best(F.col("logs"))).alias("lang"), (1.0 / mass).alias("posterior"))
 
 
