@@ -51,7 +51,9 @@ def sql_injected(column: str, key: str) -> str:
 
 
 SQL_WHITE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-CONV_KEY = F.col("conv_id") * 31 + F.col("turn")
+def conv_key() -> Column:
+    return F.col("conv_id") * 31 + F.col("turn")
+
 
 
 def sql_squeeze(c: str) -> str:
@@ -94,7 +96,7 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def conversations(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", injected("text", CONV_KEY).alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", injected("text", conv_key()).alias("text"))
 
 
 DOCS = f"d AS (SELECT doc_id, source, lang, {sql_injected('text', 'doc_id')} AS text FROM documents)"
@@ -632,7 +634,7 @@ def stream_check(spark, sf_dir):
     else:
         stream = reader.parquet(f"{sf_dir}/conversations.parquet")
     name = f"checked_{uuid.uuid4().hex}"
-    checked = check_stream(stream.withColumn("text", injected("text", CONV_KEY)), "text").select("conv_id", "turn", "verdict.*")
+    checked = check_stream(stream.withColumn("text", injected("text", conv_key())), "text").select("conv_id", "turn", "verdict.*")
     run = checked.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
@@ -642,7 +644,7 @@ def learned_scorer(spark, sf_dir):
     """The cascade over conversations with a scorer trained on generated prompts."""
     from .operators import learned
 
-    model = learned.train(generate.prompts(spark))
+    model = learned.train(generate.prompts(spark).coalesce(2))
     out = Detector(scorer=learned.scorer(model)).check(conversations(spark, sf_dir), "text")
     return out.select("conv_id", "turn", "verdict.blocked", "verdict.reason")
 
