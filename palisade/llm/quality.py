@@ -73,7 +73,7 @@ BASE_RULES: dict[str, Rule] = {
 }
 MORE_RULES: dict[str, Rule] = {
     "symbols": lambda f: 10 * f.n_symbols() > 4 * len(f.words),
-    "duplicate_lines": lambda f: 10 * f.n_dup_lines() > 3 * (f.text.count("\n") + 1),
+    "duplicate_lines": lambda f: 2 * f.n_dup_lines() > f.text.count("\n") + 1,
     "word_length": lambda f: not 2 * len(f.words) <= f.word_chars() <= 15 * len(f.words),
 }
 
@@ -131,5 +131,5 @@ l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 u AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 m AS (SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, (length(t) - length(replace(t, chr(10), '')) + 1) AS n_lines FROM d LEFT JOIN a USING (r) LEFT JOIN u USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (10 * n_symbols > 4 * n_words OR 10 * n_dup_lines > 3 * n_lines OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)) AS kept FROM m
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (10 * n_symbols > 4 * n_words OR 2 * n_dup_lines > n_lines OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)) AS kept FROM m
 """
