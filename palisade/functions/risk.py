@@ -26,6 +26,12 @@ def confidence(probabilities: Column) -> Column:
     return F.bround(F.array_max(probabilities), 4)
 
 
+def predict(text: Column, probabilities: Column) -> Column:
+    """struct<label, confidence>; a blank or null text is safe for certain."""
+    blank = text.isNull() | (F.trim(text) == "")
+    return F.struct(F.when(blank, "SAFE").otherwise(label(probabilities)).alias("label"), F.when(blank, 1.0).otherwise(confidence(probabilities)).alias("confidence"))
+
+
 def is_threat(label: Column, confidence: Column, threshold: float = THREAT_CONFIDENCE) -> Column:
     return (label != "SAFE") & (confidence >= threshold)
 

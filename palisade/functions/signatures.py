@@ -98,9 +98,10 @@ def corpus_grams(phrases: DataFrame, column: str = "phrase") -> DataFrame:
 def hits_by_join(texts: DataFrame, key: str, column: str, grams: DataFrame) -> DataFrame:
     """The keys of texts that hit a set of any size: windows are exploded and semi-joined, then each key counts once.
 
-    Of the set only single tokens, pairs and phrases matter (see above), so only those are made of the texts.
+    Of the set only single tokens, pairs and phrases matter (see above), so only those are made of the texts. The text as
+    a whole matters only if it has fewer than two tokens: a phrase of more has a pair that is in the set.
     """
-    own = bind(tokens(F.col(column)), lambda t: F.when(F.size(t) >= 2, F.array_distinct(F.concat(F.array(F.col(column)), t, _windows_of(t, 2, 2)))).otherwise(F.array(F.col(column))))
+    own = bind(tokens(F.col(column)), lambda t: F.when(F.size(t) >= 2, F.array_distinct(F.concat(t, _windows_of(t, 2, 2)))).otherwise(F.array(F.col(column))))
     found = texts.where(F.col(column).isNotNull()).select(key, F.explode(own).alias("gram")).join(grams, "gram", "left_semi")
     return found.select(key).distinct()
 

@@ -37,16 +37,35 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
-def latency_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """n, mean, median, min, max and p95 of value by group; p95 is the value of 0-based rank floor(0.95 n).
+#: An order statistic is looked for among the values between the approximate quantiles this far on either side of it.
+BRACKET, ACCURACY = 0.002, 10_000
+
+
+def order_statistic(df: DataFrame, value: str, by: list[str], share: float, rank: Column, name: str) -> DataFrame:
+    """by..., name: the value of 1-based rank (an expression of the group's count n), which lies near share of the way up.
 
-    The rank comes from a count and a window over sorted values, so no group is collected into one row.
+    Approximate quantiles bracket the rank; exact counts of the values below and, by distinct value, of those within
+    the bracket then give it. So no task sorts a whole group, however large.
     """
+    keys = df.select(*by, F.col(value).alias("__v"))
+    bounds = F.percentile_approx("__v", [max(0.0, share - BRACKET), min(1.0, share + BRACKET)], ACCURACY)
+    known = keys.groupBy(*by).agg(F.count("*").alias("n"), bounds.alias("__b"))
+    placed = keys.join(known, by)
+    below = placed.groupBy(*by).agg(F.count_if(F.col("__v") < F.col("__b")[0]).alias("__below"), F.first("n").alias("n"))
+    inside = placed.where((F.col("__v") >= F.col("__b")[0]) & (F.col("__v") <= F.col("__b")[1])).groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    upto = inside.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*by).orderBy("__v"))).join(below, by)
+    return upto.where(F.col("__below") + F.col("__upto") >= rank).groupBy(*by).agg(F.min("__v").alias(name))
+
+
+def latency_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """n, mean, median, min, max and p95 of value by group; p95 is the value of 0-based rank floor(0.95 n)."""
     known = df.where(F.col(value).isNotNull())
-    stats = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
-    ranked = known.select(*by, F.col(value).alias("__v"), F.row_number().over(Window.partitionBy(*by).orderBy(value)).alias("__r"), F.count("*").over(Window.partitionBy(*by)).alias("__n"))
-    p95 = ranked.where(F.col("__r") == F.floor(F.col("__n") * 95 / 100) + 1).select(*by, F.col("__v").alias("p95"))
-    return stats.join(p95, by)
+    n = F.col("n")
+    stats = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    low = order_statistic(known, value, by, 0.5, F.floor((n + 1) / 2), "__low")
+    high = order_statistic(known, value, by, 0.5, F.floor(n / 2) + 1, "__high")
+    p95 = order_statistic(known, value, by, 0.95, F.floor(n * 95 / 100) + 1, "p95")
+    return stats.join(low, by).join(high, by).join(p95, by).withColumn("median", (F.col("__low") + F.col("__high")) / 2).drop("__low", "__high")
 
 
 def coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

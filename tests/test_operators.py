@@ -1,6 +1,7 @@
 """Traces, adaptation, evaluation, sources, generators, streams."""
 
 import json
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,7 +77,11 @@ def test_metrics(spark):
     for n in (1, 19, 20, 21, 40):
         values = [float((i * 7) % n) for i in range(n)]
         s = evaluate.latency_stats(spark.createDataFrame([("g", x) for x in values], "g string, v double"), "v", ["g"]).first()
-        assert s.p95 == sorted(values)[int(0.95 * n)] and s.n == n
+        assert s.p95 == sorted(values)[int(0.95 * n)] and s.n == n and s.median == statistics.median(values)
+    many = spark.range(50_000).selectExpr("id % 2 as g", "cast(hash(id) % 1000 as double) as v")
+    for r in evaluate.latency_stats(many, "v", ["g"]).collect():
+        values = sorted(x.v for x in many.where(f"g = {r.g}").collect())
+        assert (r.p95, r.median) == (values[int(0.95 * len(values))], statistics.median(values))
     folds = evaluate.folds(spark.createDataFrame([(i, i % 3) for i in range(3000)], "k long, y int"), "y", "k")
     sizes = [r.n for r in folds.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 15 and min(sizes) > 150 and sum(sizes) == 3000
