@@ -618,9 +618,13 @@ def gen_dataset_dist(spark, sf_dir):
     return evaluate.label_counts(generate.dataset(spark))
 
 
-# Streaming and learning: no SQL counterpart, tested against the batch form
+# Streaming and learning
 
 
+@query(
+    f"WITH {CONVS_STAGED} SELECT conv_id, turn, hit OR rule IS NOT NULL AS blocked, CASE WHEN hit THEN 'bloom_filter' WHEN rule IS NOT NULL THEN 'regex_detector' ELSE '' END AS reason, "
+    f"CASE WHEN hit THEN 'known injection signature matched' WHEN rule IS NOT NULL THEN concat(rule, ' [', {sql_rule_category('rule')}, ']') ELSE '' END AS detail, 0.0::DOUBLE AS confidence FROM s"
+)
 def stream_check(spark, sf_dir):
     """The cascade over conversations read as a stream, through a memory sink."""
     import uuid
@@ -640,6 +644,7 @@ def stream_check(spark, sf_dir):
     return spark.table(name)
 
 
+@query()
 def learned_scorer(spark, sf_dir):
     """The cascade over conversations with a scorer trained on generated prompts."""
     from .operators import learned
@@ -647,6 +652,3 @@ def learned_scorer(spark, sf_dir):
     model = learned.train(generate.prompts(spark).coalesce(2))
     out = Detector(scorer=learned.scorer(model)).check(conversations(spark, sf_dir), "text")
     return out.select("conv_id", "turn", "verdict.blocked", "verdict.reason")
-
-
-QUERIES |= {"stream_check": stream_check, "learned_scorer": learned_scorer}

@@ -150,3 +150,17 @@ def test_streams(spark, tmp_path):
 def test_cli(capsys):
     assert main(["verify"]) == 0 and __version__ in capsys.readouterr().out
     assert main([]) == 2
+
+
+def test_shop(spark):
+    from palisade.plans.execute import guarded_sql
+    from palisade.sources.shop import register_shop, shop_tables
+
+    sizes = {n: t.count() for n, t in shop_tables(spark).items()}
+    assert sizes.pop("order_items") >= 50 and sizes == {"categories": 6, "products": 10, "customers": 8, "employees": 6, "orders": 50, "reviews": 8}
+    register_shop(spark)
+    policy = SQLPolicy(["SELECT"], ["products", "orders", "order_items", "categories", "reviews"], {"employees": ["salary"], "customers": ["email", "phone"]}, [], False, 50)
+    got = guarded_sql(spark, "SELECT r.review_id, p.product_name, r.review_text FROM reviews r JOIN products p ON r.product_id = p.product_id", policy)
+    assert {r.review_id for r in got.rows.collect() if "REDACTED" in r.review_text} == {3}
+    assert guarded_sql(spark, "SELECT email FROM customers", policy).rows is None
+    assert 0 < guarded_sql(spark, "SELECT c.category_name, AVG(p.price) AS a FROM products p JOIN categories c ON p.category_id = c.category_id GROUP BY c.category_name", policy).rows.count() <= 6

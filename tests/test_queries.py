@@ -51,8 +51,3 @@ def test_entry(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test data")
     assert entry.entry(spark).count() > 0
-
-
-def test_without_sql(spark):
-    got = entry.queries()["stream_check"](spark, SF)
-    assert got.count() == spark.read.parquet(f"{SF}/conversations.parquet").count() and got.where("blocked").count() > 0
