@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pieces, shared_path
 
 END_ID = 1
-MEMO_SIZE = 400_000
+MEMO_SIZE = 250_000
 #: Parquet layout: row groups of 32 MB, pages of 64 KB with column and offset indexes, dictionaries of up to 1 MB.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.dictionary.page.size": str(1 << 20), "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.columnindex.truncate.length": "64", "compression": "zstd"}
 
@@ -49,6 +49,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the memo before; frequent runs come back from it
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -60,9 +61,14 @@ class Encoder:
         """For each text its ids, packed as little-endian unsigned 32-bit integers."""
         split = [(t or "").encode().split() for t in texts]  # at ASCII white space
         if len(self.memo) > MEMO_SIZE:
-            self.memo = {}
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
+            self.memo, self.older = {}, self.memo
+        memo, older, new = self.memo, self.older, []
+        for w in {w for words in split for w in words if w not in memo}:
+            packed = older.get(w)
+            if packed is None:
+                new.append(w)
+            else:
+                memo[w] = packed
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):

@@ -21,7 +21,7 @@ from .common import map_texts
 
 META = "▁"
 UNK_PENALTY = 10.0
-MEMO_CHARS, MEMO_SIZE = 32, 400_000
+MEMO_CHARS, MEMO_SIZE = 32, 300_000
 #: Fixed value: the characters with Unicode's White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -56,6 +56,7 @@ class Counter:
         self.automaton.make_automaton()
         self.ring = max(len(p) for p, _ in vocabulary) + 1
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}  # the memo before; frequent words come back from it
         self.words = re.compile(f"[^{SPACE}]+").findall
 
     @classmethod
@@ -97,10 +98,13 @@ class Counter:
         for word in self.words(text):
             got = memo.get(word)
             if got is None:
-                got = self.count_word(META + word)
+                got = self.older.get(word)
+                if got is None:
+                    got = self.count_word(META + word)
                 if len(word) <= MEMO_CHARS:
                     if len(memo) >= MEMO_SIZE:
-                        memo.clear()
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
                     memo[word] = got
             total += got
         return total
