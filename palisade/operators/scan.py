@@ -72,8 +72,10 @@ def scan_flags(df: DataFrame, keys: list[str], signatures: SignatureSet | None =
         empty = F.from_json(F.lit("{}"), RESULT_TYPE)
         return df.select(*keys, F.lit("").alias("field"), empty.alias("r")).where("false").select(*keys, "field", "r.*")
     scanned = with_scan(df, {c: f"__scan_{i}" for i, c in enumerate(names)}, signatures)
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"__scan_{i}").alias("r")) for i, c in enumerate(names))))
-    return scanned.select(*keys, each.alias("f")).where("f.r.flagged").select(*keys, "f.field", "f.r.*")
+    # Clean fields are left out before rows are made of them.
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"__scan_{i}").alias("r")) for i, c in enumerate(names)))
+    flagged = F.explode(F.filter(fields, lambda f: f["r"]["flagged"]))
+    return scanned.select(*keys, flagged.alias("f")).select(*keys, "f.field", "f.r.*")
 
 
 def scan_text(df: DataFrame, column: str, result: str = "scan", signatures: SignatureSet | None = None) -> DataFrame:
