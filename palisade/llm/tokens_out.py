@@ -26,6 +26,8 @@ from .common import pieces, shared_path
 
 END_ID = 1
 MEMO_SIZE = 250_000
+#: Fixed value: how the vocabulary marks tokens that end a word. Marks that may follow a word; runs in one call.
+WORD_END, TAILS, GROUP = "</w>", b".,;:!?", 256
 #: Parquet layout: row groups of 32 MB, pages of 64 KB with column and offset indexes, dictionaries of up to 1 MB.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.dictionary.page.size": str(1 << 20), "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.columnindex.truncate.length": "64", "compression": "zstd"}
 
@@ -50,6 +52,9 @@ class Encoder:
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the memo before; frequent runs come back from it
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -59,22 +64,63 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids, packed as little-endian unsigned 32-bit integers."""
-        split = [(t or "").encode().split() for t in texts]  # at ASCII white space
+        split = [_runs(t or "") for t in texts]
         if len(self.memo) > MEMO_SIZE:
             self.memo, self.older = {}, self.memo
-        memo, older, new = self.memo, self.older, []
-        for w in {w for words in split for w in words if w not in memo}:
+        memo, older = self.memo, self.older
+        need, tails = set(), []
+        for w in set().union(*split).difference(memo):
             packed = older.get(w)
-            if packed is None:
-                new.append(w)
-            else:
+            if packed is not None:
                 memo[w] = packed
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+            elif len(w) > 1 and w[-1] in TAILS and chr(w[-2]).isascii() and chr(w[-2]).isalpha():
+                # A letter and a mark after it are never one token: the run's ids are those of its parts.
+                tails.append(w)
+                need |= {w[:-1], w[-1:]}
+            else:
+                need.add(w)
+        for w in need - memo.keys():
+            if w in older:
+                memo[w] = older[w]
+        self._encode([w for w in need if w not in memo])
+        for w in tails:
+            memo[w] = memo[w[:-1]] + memo[w[-1:]]
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
+    def _encode(self, runs: list[bytes]) -> None:
+        """Ids of new runs by the library. Runs of letters alone are one word each, so many go in one text, cut at word ends."""
+        plain, other = [], []
+        for w in runs:
+            t = w.decode()
+            (plain if t.isalpha() else other).append(t)
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(group) or at[-1] != len(ids):
+                other += group  # letters to Python that aren't to the tokenizer
+                continue
+            packed = ids.tobytes()
+            bounds = [0, *(4 * at).tolist()]
+            for t, i, j in zip(group, bounds, bounds[1:], strict=False):
+                self.memo[t.encode()] = packed[i:j]
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[t.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+
+
+def _runs(text: str) -> list[bytes]:
+    """The text's runs of characters other than ASCII white space, A-Z in lower case where that changes no id.
+
+    The tokenizer lowers letters itself, but after composing them with the marks that follow (lead bytes CC and CD), and
+    not within special tokens.
+    """
+    data = text.encode()
+    if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
+        data = data.lower()
+    return data.split()
+
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes doc_id, part, start_in_part, n_tokens, tokens of every document to Parquet files in ascending doc_id order."""
