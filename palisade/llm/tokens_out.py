@@ -14,6 +14,7 @@ by a hash of their text.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,12 @@ from .common import pieces, shared_path
 
 END_ID = 1
 MEMO_SIZE = 250_000
-#: Fixed value: how the vocabulary marks tokens that end a word. Marks that may follow a word; runs in one call.
-WORD_END, TAILS, GROUP = "</w>", b".,;:!?", 256
+#: Fixed value: how the vocabulary marks tokens that end a word. Marks that may follow a word (none that contractions or
+#: special tokens have); words in one text.
+WORD_END, TAILS, GROUP = "</w>", b".,;:!?*#%&$@^~+=-_/()[]{}", 256
+#: Letters below are in every version of Unicode, with the same case and composition.
+LATIN_END = "\u0250"
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Parquet layout: row groups of 32 MB, pages of 64 KB with column and offset indexes, dictionaries of up to 1 MB.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(64 << 10), "parquet.dictionary.page.size": str(1 << 20), "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.columnindex.truncate.length": "64", "compression": "zstd"}
 
@@ -45,13 +50,19 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the memo before; frequent runs come back from it
+        # For words that normalisation leaves alone: the same model, words cut at spaces.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.no_truncation()
+        self.bare.no_padding()
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -68,46 +79,71 @@ class Encoder:
         if len(self.memo) > MEMO_SIZE:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
-        need, tails = set(), []
-        for w in set().union(*split).difference(memo):
-            packed = older.get(w)
-            if packed is not None:
+        need, tails, known = set(), [], older.get
+
+        def ask(w: bytes) -> None:
+            packed = known(w)
+            if packed is None:
+                need.add(w)
+            else:
                 memo[w] = packed
-            elif len(w) > 1 and w[-1] in TAILS and chr(w[-2]).isascii() and chr(w[-2]).isalpha():
-                # A letter and a mark after it are never one token: the run's ids are those of its parts.
-                tails.append(w)
-                need |= {w[:-1], w[-1:]}
+
+        for w in set().union(*split).difference(memo):
+            word = w.rstrip(TAILS)
+            if len(word) < len(w) and word and word[-1] in LETTERS:
+                # A letter and the marks after it are never one token: the run's ids are those of its parts.
+                packed = known(w)
+                if packed is not None:
+                    memo[w] = packed
+                    continue
+                mark = w[len(word) :]
+                tails.append((w, word, mark))
+                if word not in memo:
+                    ask(word)
+                if mark not in memo:
+                    ask(mark)
             else:
-                need.add(w)
-        for w in need - memo.keys():
-            if w in older:
-                memo[w] = older[w]
-        self._encode([w for w in need if w not in memo])
-        for w in tails:
-            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+                ask(w)
+        self._encode(list(need))
+        for w, word, mark in tails:
+            memo[w] = memo[word] + memo[mark]
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
     def _encode(self, runs: list[bytes]) -> None:
         """Ids of new runs by the library. Runs of letters alone are one word each, so many go in one text, cut at word ends."""
-        plain, other = [], []
+        bare, plain, other = [], [], []
         for w in runs:
+            if w.isalpha() and w.islower():  # of bytes: a-z only
+                bare.append(w)
+                continue
             t = w.decode()
-            (plain if t.isalpha() else other).append(t)
-        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            if not t.isalpha():
+                other.append(w)
+            elif max(t) < LATIN_END and t == t.lower() and unicodedata.is_normalized("NFC", t):
+                bare.append(w)
+            else:
+                plain.append(w)
+        other += self._encode_words(bare, self.bare) + self._encode_words(plain, self.tokenizer)
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _encode_words(self, words: list[bytes], tokenizer) -> list[bytes]:
+        """Ids of words, GROUP to a text; returns those that were letters to Python but aren't to the tokenizer."""
+        left, memo = [], self.memo
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(group) or at[-1] != len(ids):
-                other += group  # letters to Python that aren't to the tokenizer
+                left += group
                 continue
             packed = ids.tobytes()
             bounds = [0, *(4 * at).tolist()]
-            for t, i, j in zip(group, bounds, bounds[1:], strict=False):
-                self.memo[t.encode()] = packed[i:j]
-        for i in range(0, len(other), 4096):
-            part = other[i : i + 4096]
-            for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[t.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+            for w, i, j in zip(group, bounds, bounds[1:], strict=False):
+                memo[w] = packed[i:j]
+        return left
 
 
 def _runs(text: str) -> list[bytes]:
