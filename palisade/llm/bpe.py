@@ -60,6 +60,10 @@ class Merges:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: s for s, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.longest = max(map(len, self.ids))
+        #: For whole short pieces: merges by the ids of their sides, and the id that each makes.
+        self._by_ids = {self.ids[a] << 20 | self.ids[b]: r for (a, b), r in self.rank.items()}
+        self._makes = [self.ids[a + b] for a, b in self.merges]
+        self._of_byte = [self.ids[bytes([b])] for b in range(256)]
         made = {bytes([b]): -1 for b in range(256)}  # each symbol's rank of birth
         #: Whether each merge joins symbols that merges before it have made, so that merges happen in order of rank.
         self.proper = all(made.get(a, r) < r and made.get(b, r) < r and made.setdefault(a + b, r) == r for r, (a, b) in enumerate(self.merges))
@@ -102,6 +106,21 @@ class Merges:
                 ranks[at] = rank.get((parts[at], parts[at + 1]), none)
         return parts
 
+    def merged_ids(self, data: bytes) -> list[int]:
+        """The ids of merged(data)."""
+        of, get, makes, none = self._of_byte, self._by_ids.get, self._makes, 1 << 60
+        parts = [of[b] for b in data]
+        ranks = [get(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            at = ranks.index(least)
+            parts[at] = makes[least]
+            del parts[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] << 20 | parts[at], none)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] << 20 | parts[at + 1], none)
+        return parts
+
     def sufficient_lookahead(self) -> int:
         """Bytes after which a token boundary can't change.
 
@@ -189,20 +208,27 @@ class Transducer:
 
 
 class _Memo(dict):
-    """Piece of text -> its ids, packed as little-endian unsigned 32-bit integers. Its size is bounded."""
+    """Piece of text -> its ids, packed as little-endian unsigned 32-bit integers.
+
+    Of bounded size: when it is full, it becomes the older half, in which pieces are looked up before they are encoded
+    anew, and the half before it is forgotten. Frequent pieces so survive.
+    """
 
     def __init__(self, transducer: Transducer):
-        self.t = transducer
+        self.t, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data, m = piece.encode(), self.t.m
-        if len(data) <= SHORT_BYTES:
-            ids = [m.ids[t] for t in m.merged(data)]
-        else:
-            ids = self.t.run(data[i : i + 4096] for i in range(0, len(data), 4096))
-        packed = np.fromiter(ids, dtype="<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            data, m = piece.encode(), self.t.m
+            if len(data) <= SHORT_BYTES:
+                ids = m.merged_ids(data)
+            else:
+                ids = self.t.run(data[i : i + 4096] for i in range(0, len(data), 4096))
+            packed = np.fromiter(ids, dtype="<u4").tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO_SIZE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
