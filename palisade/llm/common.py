@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hot keys are those with more than 1/HOT_SHARE of all rows, so there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -22,16 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Only a session within one process (tests) gets one of its own where it is unset."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
+    if not named and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="palisade-checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="palisade-checkpoint-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named or sc.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
@@ -46,14 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path) of a URI or a plain local path."""
+    """(pyarrow file system, path) of a URI or a plain local path. s3a:// and s3n://, Spark's names for S3, go by s3://."""
     import pyarrow.fs as pafs
 
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri[5:].replace("///", "/", 1) if uri.startswith("file:///") else uri[5:]
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), os.path.abspath(uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme or os.path.isabs(uri):
+        return pafs.LocalFileSystem(), os.path.abspath(uri)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest)
 
 
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -69,7 +72,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def map_texts(df: DataFrame, text: str, row: Callable[[str | None], tuple], keep: list[str], schema: str) -> DataFrame:
     """A row of row(text) beside the columns in keep, for each row of df. schema: of the new columns, as DDL."""
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    out = df.sparkSession.createDataFrame([], f"{kept}, {schema}" if kept else schema).schema
+    out = T.StructType.fromDDL(f"{kept}, {schema}" if kept else schema)
     new = out.names[len(keep) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,20 +104,18 @@ def to_arrow(kind) -> pa.DataType:
 def join_skewed(df: DataFrame, lookup: DataFrame, keys: list[str], n_rows: str = "n_rows") -> DataFrame:
     """df left-joined with lookup on keys (null-safe), whatever the skew of df.
 
-    lookup has one row per key and, in n_rows, how many rows of df have that key. Keys with over 1/HOT_SHARE of all
-    rows (at most HOT_SHARE keys, whatever the input) are joined by broadcast, so their rows stay where they are; all
-    other rows are joined by a shuffle. n_rows itself isn't returned.
+    lookup, best cut(), has one row per key and, in n_rows, how many rows of df have that key. Keys with over 1/HOT_SHARE
+    of all rows (fewer than HOT_SHARE keys, whatever the input) are joined by broadcast, so their rows stay where they
+    are; all other rows are joined by a shuffle. No row of lookup comes to the driver. n_rows itself isn't returned.
     """
-    total = lookup.agg(F.coalesce(F.sum(n_rows), F.lit(0))).first()[0]
-    hot = lookup.where(F.col(n_rows) * HOT_SHARE > F.lit(total)).limit(HOT_SHARE)
-    hot_rows = hot.collect()  # at most HOT_SHARE rows by arithmetic
-    cold = lookup.where(F.col(n_rows) * HOT_SHARE <= F.lit(total)).drop(n_rows)
-    if not hot_rows:
+    whole = lookup.agg(F.coalesce(F.sum(n_rows), F.lit(0)), F.coalesce(F.max(n_rows), F.lit(0))).first()
+    is_hot = F.col(n_rows) * HOT_SHARE > F.lit(whole[0])
+    cold = lookup.where(~is_hot).drop(n_rows)
+    if whole[1] * HOT_SHARE <= whole[0]:
         return _left(df, cold, keys)
-    hot_df = df.sparkSession.createDataFrame(hot_rows, lookup.schema).drop(n_rows)
-    flagged = _left(df, F.broadcast(hot_df.withColumn("__hot", F.lit(True))), keys)
-    is_hot = F.coalesce("__hot", F.lit(False))
-    return flagged.where(is_hot).drop("__hot").unionByName(_left(flagged.where(~is_hot).select(*df.columns), cold, keys))
+    flagged = _left(df, F.broadcast(lookup.where(is_hot).drop(n_rows).withColumn("__hot", F.lit(True))), keys)
+    was_hot = F.coalesce("__hot", F.lit(False))
+    return flagged.where(was_hot).drop("__hot").unionByName(_left(flagged.where(~was_hot).select(*df.columns), cold, keys))
 
 
 def _left(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,9 @@ digests before it gives the record out.
 Of records with equal payloads of at least MIN_REVISIT bytes, that with the least page_id is a response and the others
 are revisits, which carry the digest and length of the payload but not the payload.
 
+An empty table gives archives of no records; extra columns, whatever their names, aren't looked at. Archives that a lost
+attempt left behind are in no manifest; the folder, named by a fresh id, can go when the result has been written.
+
 Nulls: a null html is an empty payload; a null url gives a record without target; a null page_id counts in no minimum
 (equal payloads of null ids alone are all responses). Rows of the least page_id itself, repeated, are all responses.
 """
@@ -22,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, file_system, join_skewed, pieces, shared_path
+from .common import cut, file_system, join_skewed, pieces, shared_path, to_arrow
 
 MIN_REVISIT = 100
 #: Fixed values of the formats: the skippable frame that holds a dictionary, the magic numbers of frames and dictionaries.
@@ -199,14 +203,20 @@ def write_archives(marked: DataFrame, folder: str, dictionary: bytes) -> DataFra
     return cut(marked.mapInArrow(run, "path string, n_records long"))
 
 
-def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of every record."""
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+#: Columns of the records read back, with their types. payload is null for revisits.
+RECORD = {"page_id": "string", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "string", "payload": "binary"}
+
+
+def read_archives(manifest: DataFrame, id_type: str = "bigint", columns: list[str] | None = None) -> DataFrame:
+    """The named columns (default: all of RECORD) of every record. Every record is checked in full; only these columns go to the JVM."""
+    columns = columns or list(RECORD)
+    schema = ", ".join(f"{c} {RECORD[c]}" for c in columns)
+    kinds = [to_arrow(f.dataType) for f in T.StructType.fromDDL(schema)]
+    with_payload = "payload" in columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
+        def flush(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(columns, kinds, strict=True)], names=columns)
 
         for batch in batches:
             for path, n in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
@@ -216,9 +226,11 @@ def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                     for r in read_records(stream):
                         seen += 1
                         page, refers = r["warc-record-id"][10:-1], r.get("warc-refers-to")
-                        payload = r["payload"] if r["warc-type"] == "response" else None
-                        rows.append((page or None, r.get("warc-target-uri"), r["payload-length"], r["warc-payload-digest"].removeprefix("sha256:"), r["warc-type"], refers and refers[10:-1], payload))
-                        held += len(r["payload"])
+                        row = {"page_id": page or None, "url": r.get("warc-target-uri"), "payload_bytes": r["payload-length"], "payload_digest": r["warc-payload-digest"].removeprefix("sha256:"), "record_type": r["warc-type"], "refers_to": refers and refers[10:-1]}
+                        if with_payload:
+                            row["payload"] = r["payload"] if r["warc-type"] == "response" else None
+                            held += len(r["payload"])
+                        rows.append(row)
                         if held >= 4 << 20 or len(rows) >= 2000:
                             yield flush(rows)
                             rows, held = [], 0
@@ -228,15 +240,15 @@ def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                     yield flush(rows)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = manifest.repartition(n).mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
-    return found.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
+    found = manifest.repartition(n).mapInArrow(run, schema)
+    return found.select(*(F.col(c).cast(id_type).alias(c) if c in ("page_id", "refers_to") else F.col(c) for c in columns))
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes the archives of pages to the shared folder and returns the digest columns read back from them."""
     dictionary = train_dictionary(sample_payloads(pages))
     manifest = write_archives(mark_revisits(pages), shared_path(spark, "warc"), dictionary)
-    return read_archives(manifest, pages.schema["page_id"].dataType.simpleString()).drop("payload", "url")
+    return read_archives(manifest, pages.schema["page_id"].dataType.simpleString(), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 ORACLE_SQL = """
