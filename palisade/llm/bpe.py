@@ -3,13 +3,16 @@
 Encoding. The text is cut into pieces by the tokenizer's pattern. Within a piece the transducer reads bytes one at a
 time and keeps, for each byte position, the last token of the encoding of the prefix ending there: it is the one
 vocabulary token that ends there and is compatible with the last token of the prefix before it (two tokens are
-compatible if their joined bytes encode to just these two). Whatever follows, the next token starts within the last
-max-token-length positions; a boundary that the chains of all those positions share is stable, and the tokens before
-it are emitted and forgotten. The merge list has a sufficient lookahead (sufficient_lookahead()), a number of bytes
-after which no boundary can change, so the state is bounded whatever the length of the piece.
+compatible if their joined bytes encode to just these two). The merge list has a sufficient lookahead
+(sufficient_lookahead()), a number of bytes after which no boundary can change: tokens that end so many bytes back are
+stable, and are emitted and forgotten while the piece goes on, so the state is bounded whatever the piece's length.
+
+Every piece goes through the transducer; the ids of recent short pieces are remembered, in a table of bounded size. Pieces
+are found, encoded, digested and decoded as a stream: beside the text itself, no more than CHUNK pieces or ids are held.
 
 Nulls: a null text is an empty one, with no tokens. Special token strings in a text become their special ids, as in
-the tokenizers library.
+the tokenizers library. Repeated rows and ids are rows of their own; an empty table gives no rows; extra columns aren't
+looked at.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +32,9 @@ from .common import map_texts
 #: Fixed value: the pattern of byte-level BPE that cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of at most so many characters are remembered, in a table that is emptied at so many entries.
-MEMO_CHARS, MEMO_SIZE = 32, 300_000
-#: A piece that ends within so many bytes fits the transducer's window whole; at its end all is stable, and it is merged outright.
-SHORT_BYTES = 24
+MEMO_CHARS, MEMO_SIZE = 32, 200_000
+#: Pieces, bytes or ids that are handled at a time; bytes between two looks for stable tokens.
+CHUNK, EMIT_EVERY = 4096, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,21 +65,20 @@ class Merges:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: s for s, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.longest = max(map(len, self.ids))
-        #: For whole short pieces: merges by the ids of their sides, and the id that each makes.
-        self._by_ids = {self.ids[a] << 20 | self.ids[b]: r for (a, b), r in self.rank.items()}
-        self._makes = [self.ids[a + b] for a, b in self.merges]
-        self._of_byte = [self.ids[bytes([b])] for b in range(256)]
         made = {bytes([b]): -1 for b in range(256)}  # each symbol's rank of birth
         #: Whether each merge joins symbols that merges before it have made, so that merges happen in order of rank.
         self.proper = all(made.get(a, r) < r and made.get(b, r) < r and made.setdefault(a + b, r) == r for r, (a, b) in enumerate(self.merges))
-        parts = {a + b: (a, b, r) for r, (a, b) in enumerate(self.merges)}
-        self._right = {t: self._spine(parts, t, 1) for t in self.ids}
-        self._left = {t: self._spine(parts, t, 0) for t in self.ids}
-
-    @staticmethod
-    def _spine(parts: dict, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        self._parts = {a + b: (a, b, r) for r, (a, b) in enumerate(self.merges)}
+        #: Every suffix of every token, with the token's id where the suffix is a token itself, else -1.
+        self.suffixes: dict[bytes, int] = {}
+        for t in self.ids:
+            for i in range(1, len(t)):
+                self.suffixes.setdefault(t[i:], -1)
+        self.suffixes |= self.ids
+
+    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The symbols at one end of token while it is made, each with the rank of the merge that takes it up."""
-        out, death = [(token, 1 << 60)], 0
+        out, parts = [(token, 1 << 60)], self._parts
         while token in parts:
             death, token = parts[token][2], parts[token][side]
             out.append((token, death))
@@ -84,9 +88,9 @@ class Merges:
         """Whether a + b encodes to just [a, b]: no merge across the boundary comes before those on either side."""
         if not self.proper:
             return self.merged(a + b) == [a, b]
-        rank = self.rank
-        for x, x_gone in self._right[a]:
-            for y, y_gone in self._left[b]:
+        rank, left = self.rank, self._spine(b, 0)
+        for x, x_gone in self._spine(a, 1):
+            for y, y_gone in left:
                 r = rank.get((x, y))
                 if r is not None and r < x_gone and r <= y_gone:
                     return False
@@ -106,21 +110,6 @@ class Merges:
                 ranks[at] = rank.get((parts[at], parts[at + 1]), none)
         return parts
 
-    def merged_ids(self, data: bytes) -> list[int]:
-        """The ids of merged(data)."""
-        of, get, makes, none = self._of_byte, self._by_ids.get, self._makes, 1 << 60
-        parts = [of[b] for b in data]
-        ranks = [get(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks and (least := min(ranks)) < none:
-            at = ranks.index(least)
-            parts[at] = makes[least]
-            del parts[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = get(parts[at - 1] << 20 | parts[at], none)
-            if at < len(ranks):
-                ranks[at] = get(parts[at] << 20 | parts[at + 1], none)
-        return parts
-
     def sufficient_lookahead(self) -> int:
         """Bytes after which a token boundary can't change.
 
@@ -152,56 +141,53 @@ class Transducer:
         self.lookahead = merges.sufficient_lookahead()
         self._fits: dict[tuple[bytes, bytes], bool] = {}
 
-    def fits(self, a: bytes, b: bytes) -> bool:
-        key = (a, b)
-        got = self._fits.get(key)
-        if got is None:
-            if len(self._fits) >= MEMO_SIZE:
-                self._fits.clear()
-            got = self._fits[key] = self.m.fits(a, b)
+    def fits(self, pair: tuple[bytes, bytes]) -> bool:
+        if len(self._fits) >= MEMO_SIZE:
+            self._fits.clear()
+        got = self._fits[pair] = self.m.fits(*pair)
         return got
 
     def run(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Token ids of the joined chunks. State: the bytes and last tokens since the last stable boundary."""
-        ids, longest, fits = self.m.ids, self.m.longest, self.fits
-        data, last = b"", [b""]  # last[i]: last token of the prefix data[:i]; before it, all is emitted
-        before = b""  # the last token emitted
+        """Token ids of the joined chunks. State: the bytes and last tokens since the last boundary that was emitted, and a chunk."""
+        ids, get, fits, known_fits = self.m.ids, self.m.suffixes.get, self.fits, self._fits.get
+        data, last, origin = b"", [b""], 0  # last[i]: last token of the prefix data[:i]; up to origin, all is emitted
+        before, due = b"", self.lookahead + EMIT_EVERY  # the last token emitted; where tokens are next looked for
         for chunk in chunks:
-            for at in range(len(chunk)):
-                data += chunk[at : at + 1]
-                end = len(data)
-                for start in range(max(0, end - longest), end):
+            data += chunk
+            for end in range(len(last), len(data) + 1):
+                start = end
+                while True:
+                    start -= 1
                     token = data[start:end]
-                    if token in ids:
-                        prior = last[start] if start else before
-                        if (start == 0 or prior) and (not prior or fits(prior, token)):
-                            last.append(token)
+                    known = get(token) if start >= origin else None
+                    if known is None:
+                        raise ValueError(f"no token of the vocabulary can end in {data[max(origin, end - 16) : end]!r}")
+                    if known >= 0:
+                        prior = last[start] if start > origin else before
+                        if not prior:
                             break
-                else:
-                    last.append(b"")  # can't happen with all bytes in the vocabulary
-                if end >= 2 * longest and end % 64 == 0:
-                    stable = self._shared(last, max(0, end - longest))
-                    if stable:
-                        done = self._chain(last, stable)
-                        before = done[-1]
-                        yield from (ids[t] for t in done)
-                        data, last = data[stable:], [b"", *last[stable + 1 :]]
-        yield from (ids[t] for t in self._chain(last, len(data)))
-
-    @staticmethod
-    def _shared(last: list[bytes], low: int) -> int:
-        """The latest boundary on the chains of all positions from low on."""
-        live = set(range(low, len(last)))
-        while len(live) > 1:
-            top = max(live)
-            live.remove(top)
-            live.add(top - len(last[top]))
-        return live.pop()
+                        pair = prior, token
+                        ok = known_fits(pair)
+                        if ok or ok is None and fits(pair):
+                            break
+                last.append(token)
+                if end >= due:
+                    stable = end
+                    while stable > end - self.lookahead:
+                        stable -= len(last[stable])
+                    done = self._chain(last, stable, origin)
+                    if done:
+                        yield from map(ids.__getitem__, done)
+                        before, origin = done[-1], stable
+                    due = end + EMIT_EVERY
+            due -= origin
+            data, last, origin = data[origin:], [b"", *last[origin + 1 :]], 0
+        yield from map(ids.__getitem__, self._chain(last, len(data), 0))
 
     @staticmethod
-    def _chain(last: list[bytes], end: int) -> list[bytes]:
+    def _chain(last: list[bytes], end: int, origin: int) -> list[bytes]:
         out = []
-        while end:
+        while end > origin:
             out.append(last[end])
             end -= len(last[end])
         return out[::-1]
@@ -220,17 +206,12 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            data, m = piece.encode(), self.t.m
-            if len(data) <= SHORT_BYTES:
-                ids = m.merged_ids(data)
-            else:
-                ids = self.t.run(data[i : i + 4096] for i in range(0, len(data), 4096))
-            packed = np.fromiter(ids, dtype="<u4").tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_SIZE:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = packed
+            data = piece.encode()
+            packed = array("I", self.t.run((data,))).tobytes()
+        if len(self) >= MEMO_SIZE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = packed
         return packed
 
 
@@ -244,7 +225,7 @@ class Codec:
 
         self.merges = Merges(path)
         self._memo = _Memo(Transducer(self.merges))
-        self._find = regex.compile(PATTERN).findall
+        self._find = regex.compile(PATTERN).finditer
         special = sorted(self.merges.special, key=len, reverse=True)
         self._split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda s: [s]
         top = max(self.merges.bytes_of) + 1
@@ -257,28 +238,40 @@ class Codec:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def encode_packed(self, text: str) -> bytes:
-        out, get = [], self._memo.__getitem__
+    def encode_stream(self, text: str) -> Iterator[bytes]:
+        """Ids of the text, packed as little-endian unsigned 32-bit integers, as they come out."""
+        get = self._memo.__getitem__
         for i, part in enumerate(self._split(text)):
             if i % 2:
-                out.append(self.merges.special[part].to_bytes(4, "little"))
-            else:
-                out.extend(map(get, self._find(part)))
-        return b"".join(out)
+                yield self.merges.special[part].to_bytes(4, "little")
+                continue
+            found = self._find(part)
+            while short := [m[0] for m in islice(found, CHUNK)]:
+                if max(map(len, short)) <= MEMO_CHARS:
+                    yield b"".join(map(get, short))
+                    continue
+                for piece in short:
+                    if len(piece) <= MEMO_CHARS:
+                        yield get(piece)
+                    else:
+                        ids = self._memo.t.run(piece[j : j + CHUNK].encode() for j in range(0, len(piece), CHUNK))
+                        while packed := array("I", islice(ids, CHUNK)).tobytes():
+                            yield packed
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
+        return np.frombuffer(b"".join(self.encode_stream(text)), dtype="<u4").tolist()
 
-    def decode_stream(self, packed: bytes, step: int = 4096) -> Iterator[str]:
+    def decode_stream(self, packed: Iterable[bytes]) -> Iterator[str]:
         """Text of packed ids, piece by piece; the machine's state between pieces is an unfinished character."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         get = self._bytes.__getitem__
-        for at in range(0, len(packed), 4 * step):
-            yield machine.decode(b"".join(map(get, np.frombuffer(packed[at : at + 4 * step], dtype="<u4").tolist())))
+        for part in packed:
+            yield machine.decode(b"".join(map(get, np.frombuffer(part, dtype="<u4").tolist())))
         yield machine.decode(b"", final=True)
 
     def decode(self, ids: list[int]) -> str:
-        return "".join(self.decode_stream(np.asarray(ids, dtype="<u4").tobytes()))
+        whole = np.asarray(ids, dtype="<u4")
+        return "".join(self.decode_stream(whole[at : at + CHUNK].tobytes() for at in range(0, len(whole), CHUNK)))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -287,10 +280,17 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def row(text: str | None) -> tuple[int, str, str]:
         codec = Codec.of(path)
-        packed = codec.encode_packed(text or "")
-        digest = hashlib.sha256()
-        for part in codec.decode_stream(packed):
-            digest.update(part.encode())
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest()
+        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+        def counted() -> Iterator[bytes]:
+            nonlocal n
+            for packed in codec.encode_stream(text or ""):
+                n += len(packed) // 4
+                of_ids.update(packed)
+                yield packed
+
+        for decoded in codec.decode_stream(counted()):
+            of_text.update(decoded.encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
 
     return map_texts(docs, "text", row, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -37,7 +37,6 @@ def test_long_pieces_in_any_feed():
     for alphabet in (b"a", b"ab", b"theing", b"=-", b"\xc3\xa9\xe4\xb8\xad"):
         data = bytes(rng.choice(alphabet) for _ in range(3000))
         want = [CODEC.merges.ids[t] for t in CODEC.merges.merged(data)]
-        assert CODEC.merges.merged_ids(data) == want
         for step in (1, 7, 1000):
             assert list(MACHINE.run(data[i : i + step] for i in range(0, len(data), step))) == want
 
@@ -82,5 +81,34 @@ def test_any_ids():
         ids = [rng.randrange(50257) for _ in range(30)]
         want = _LIBRARY.decode(ids, skip_special_tokens=False)
         assert CODEC.decode(ids) == want
-        packed = np.array(ids, "<u4").tobytes()
-        assert "".join(CODEC.decode_stream(packed, 1)) == want
+        assert "".join(CODEC.decode_stream(np.array([i], "<u4").tobytes() for i in ids)) == want
+
+
+def test_every_piece_goes_through_the_transducer(monkeypatch):
+    """A fresh codec feeds each distinct piece of a text to the machine once, and nothing else gives ids."""
+    import regex
+
+    codec, fed = bpe.Codec(bpe.default_path()), []
+    run = codec._memo.t.run
+    monkeypatch.setattr(codec._memo.t, "run", lambda chunks: fed.append(b"".join(chunks)) or run([fed[-1]]))
+    text = "The cat, the hat and the unquestionablyverylongpiecewithoutanyspace" + "s" * 90 + " end. The cat"
+    assert codec.encode(text) == library_ids(text)
+    assert sorted(fed) == sorted({p.encode() for p in regex.findall(bpe.PATTERN, text)})
+
+
+def test_memory_is_flat_over_a_long_text():
+    """Beside the text itself, a long text, one piece or many, takes no memory in proportion to its length."""
+    import tracemalloc
+
+    codec = bpe.Codec.of(bpe.default_path())
+    for unit in ("the cat sat on the mat ", "ab"):
+        peaks = []
+        for n in (20_000, 200_000):
+            text = (unit * n)[:n]
+            list(map(len, codec.encode_stream(text[:9000])))
+            tracemalloc.start()
+            for _ in codec.decode_stream(codec.encode_stream(text)):
+                pass
+            peaks.append(tracemalloc.get_traced_memory()[1] - len(text))
+            tracemalloc.stop()
+        assert peaks[1] < peaks[0] + 150_000, (unit, peaks)
