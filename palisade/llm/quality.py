@@ -1,16 +1,21 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a test of one text with a cost and a rejection rate. Both are estimated on a bounded sample; rules then
-run in order of rejection rate per cost, and a document's cascade ends with the first rule that rejects it. The order
-changes the work, never the verdict: a document is kept if no rule rejects it.
-
-Nulls: a null text is an empty one (no words, so the base rule on word count rejects it).
+Every rule is a test of one text with a cost and a rejection rate. Both are estimated on a bounded sample of the texts that
+the cascade is for: the rule that rejects most per cost comes first, the next is chosen by its rejections among the texts
+that those before it let through, at its cost with the counts at hand that those have made, and so on. A document's cascade
+ends with the first rule that rejects it. The order changes the work, never the verdict: a document is kept if no rule
+rejects it.
+
+Nulls: a null text is an empty one (no words, so the base rule on word count rejects it). Repeated rows are rows of their own
+and share their verdict; an empty table gives no rows; of extra columns, filter_quality() returns all as they are and
+quality_report() none. Rules of equal worth run in order of their names.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -24,31 +29,34 @@ SAMPLE_ROWS = 400
 
 
 class Features:
-    """Counts of one text; each is made when first asked for."""
-
-    __slots__ = ("text", "_words", "_spaces")
+    """Counts of one text; each is made when first asked for, and kept."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
-        self._words = None
 
-    @property
+    @cached_property
     def words(self) -> list[bytes]:
         """Words [^\\x20\\x09-\\x0D]+ in UTF-8 (splitting bytes is splitting at ASCII white space)."""
-        if self._words is None:
-            self._words = self.text.encode().split()
-        return self._words
+        return self.text.encode().split()
 
+    @cached_property
     def word_chars(self) -> int:
         return len(self.text) - sum(map(self.text.count, " \t\n\v\f\r"))
 
+    @cached_property
     def n_symbols(self) -> int:
         return sum(map(self.text.count, SYMBOLS))
 
+    @cached_property
+    def n_lines(self) -> int:
+        return self.text.count("\n") + 1
+
+    @cached_property
     def n_dup_lines(self) -> int:
         lines = [x for x in self.text.split("\n") if x.strip(" \t\v\f\r")]
         return len(lines) - len(set(lines))
 
+    @cached_property
     def n_repeat_words(self) -> int:
         """Words in 3-word windows that are found twice or more."""
         w = self.words
@@ -69,53 +77,85 @@ class Features:
 Rule = Callable[[Features], bool]
 BASE_RULES: dict[str, Rule] = {
     "few_words": lambda f: len(f.words) < MIN_WORDS,
-    "repeats": lambda f: 100 * f.n_repeat_words() > MAX_REPEAT_PERCENT * len(f.words),
+    "repeats": lambda f: 100 * f.n_repeat_words > MAX_REPEAT_PERCENT * len(f.words),
 }
 MORE_RULES: dict[str, Rule] = {
-    "symbols": lambda f: 10 * f.n_symbols() > 4 * len(f.words),
-    "duplicate_lines": lambda f: 2 * f.n_dup_lines() > f.text.count("\n") + 1,
-    "word_length": lambda f: not 2 * len(f.words) <= f.word_chars() <= 15 * len(f.words),
+    "symbols": lambda f: 10 * f.n_symbols > 4 * len(f.words),
+    "duplicate_lines": lambda f: 2 * f.n_dup_lines > f.n_lines,
+    "word_length": lambda f: not 2 * len(f.words) <= f.word_chars <= 15 * len(f.words),
 }
 
 
-def order_rules(sample: list[str | None], rules: dict[str, Rule]) -> list[str]:
-    """Rule names by rejection rate per cost, best first. Each rule runs on the whole sample, on fresh features."""
-    worth = {}
-    for name, rule in rules.items():
-        began, rejected = time.perf_counter(), 0
-        for text in sample:
-            rejected += bool(rule(Features(text)))
-        cost = (time.perf_counter() - began) / max(1, len(sample))
-        worth[name] = (rejected / max(1, len(sample))) / max(cost, 1e-9), -cost
-    return sorted(rules, key=lambda n: (*worth[n], n), reverse=True)
+def order_rules(sample: Iterable[Features], rules: dict[str, Rule], clock: Callable[[], float] = time.perf_counter) -> list[str]:
+    """Rule names in the order in which they reject most per cost, each measured on what the rules before it let through."""
+    left, order, rest = list(sample), [], dict(rules)
+    while rest:
+        worth = {}
+        for name, rule in rest.items():
+            fresh = [_copy(f) for f in left]
+            began = clock()
+            rejected = sum(bool(rule(f)) for f in fresh)
+            cost = (clock() - began) / max(1, len(left))
+            worth[name] = rejected / max(1, len(left)) / max(cost, 1e-9), -cost
+        best = min(rest, key=lambda n: (-worth[n][0], -worth[n][1], n))
+        order.append(best)
+        rule = rest.pop(best)
+        left = [f for f in left if not rule(f)]  # keeps the counts that the rule has made
+    return order
+
+
+def _copy(f: Features) -> Features:
+    """f with the counts that it has already, so that what a rule adds to them leaves f alone."""
+    other = Features(f.text)
+    other.__dict__.update(f.__dict__)
+    return other
 
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """At most rows texts, spread over the head of the table; only their cost and rejections are looked at."""
+    """At most rows texts, every tenth or so from the head of the table; only costs and rejection rates are estimated on them."""
     return [r[0] for r in docs.select("text").sample(0.1, seed=11).limit(rows).collect()]
 
 
-def _passes(order: list[str], rules: dict[str, Rule]) -> Callable[[Features], bool]:
+def passes(order: list[str], rules: dict[str, Rule]) -> Callable[[Features], bool]:
+    """The cascade: whether no rule rejects a text; no rule runs after one that rejects."""
     tests = [rules[n] for n in order]
-    return lambda f: not any(t(f) for t in tests)
+
+    def cascade(f: Features) -> bool:
+        for test in tests:
+            if test(f):
+                return False
+        return True
+
+    return cascade
 
 
 def filter_quality(docs: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
     rules = rules or {**BASE_RULES, **MORE_RULES}
-    passes = _passes(order_rules(sample_texts(docs), rules), rules)
-    return filter_texts(docs, "text", lambda text: passes(Features(text)))
+    keep = passes(order_rules(map(Features, sample_texts(docs)), rules), rules)
+    return filter_texts(docs, "text", lambda text: keep(Features(text)))
+
+
+def counted(text: str | None) -> Features:
+    """Features with the base counts made, as the report has them made for every text."""
+    f = Features(text)
+    f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words  # noqa: B018
+    return f
+
+
+def base_failed(f: Features) -> bool:
+    return any(rule(f) for rule in BASE_RULES.values())
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept of every document; the further rules run only on those that pass the base."""
-    passes = _passes(order_rules(sample_texts(docs), MORE_RULES), MORE_RULES)
+    """doc_id, the base counts, base_failed and kept of every document; the further rules run only on those that pass the base, and are ordered on such."""
+    sample = [f for f in map(counted, sample_texts(docs)) if not base_failed(f)]
+    keep = passes(order_rules(sample, MORE_RULES), MORE_RULES)
 
     def row(text: str | None) -> tuple:
-        f = Features(text)
-        n, repeat = len(f.words), f.n_repeat_words()
-        failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
-        return n, f.word_chars(), f.n_symbols(), f.n_dup_lines(), repeat, failed, not failed and passes(f)
+        f = counted(text)
+        failed = base_failed(f)
+        return len(f.words), f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, not failed and keep(f)
 
     return map_texts(docs, "text", row, ["doc_id"], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 

@@ -74,13 +74,55 @@ def test_quality(docs, none):
 def test_rule_order_changes_work_not_verdicts():
     texts = [r[1] for r in ROWS]
     rules = {**quality.BASE_RULES, **quality.MORE_RULES}
-    order = quality.order_rules(texts, rules)
+    order = quality.order_rules(map(quality.Features, texts), rules)
     assert sorted(order) == sorted(rules)
     for t in texts:
-        verdicts = {quality._passes(o, rules)(quality.Features(t)) for o in (order, order[::-1], sorted(rules))}
+        verdicts = {quality.passes(o, rules)(quality.Features(t)) for o in (order, order[::-1], sorted(rules))}
         assert len(verdicts) == 1
 
 
+def test_cascade_saves_evaluations():
+    """Rules run by rejection per cost among the texts that are left, and none runs after a rejection."""
+    now, runs = [0.0], collections.Counter()
+
+    def rule(name, cost, rejects):
+        def test(f):
+            now[0] += cost
+            runs[name] += 1
+            return rejects(int(f.text))
+
+        return test
+
+    rules = {
+        "dear": rule("dear", 50.0, lambda i: i % 2 == 0),  # 50 of 100 at 50 a text
+        "cheap": rule("cheap", 1.0, lambda i: i % 5 == 0),  # 20 of 100 at 1
+        "same": rule("same", 1.0, lambda i: i % 10 == 0),  # 10 of 100, but none once cheap has run
+        "last": rule("last", 10.0, lambda i: i < 30),  # 24 of the 80 that are left
+    }
+    texts = [quality.Features(str(i)) for i in range(100)]
+    order = quality.order_rules(texts, rules, clock=lambda: now[0])
+    assert order == ["cheap", "last", "dear", "same"]
+    runs.clear()
+    now[0] = 0.0
+    keep = quality.passes(order, rules)
+    kept = [i for i, f in enumerate(texts) if keep(f)]
+    assert kept == [i for i in range(30, 100) if i % 2 and i % 5]
+    assert runs == {"cheap": 100, "last": 80, "dear": 56, "same": 28} and now[0] < 0.65 * 6200  # 6200: all rules on all texts
+
+
+def test_counts_are_made_once(monkeypatch):
+    made = collections.Counter()
+    for name in ("words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"):
+        whole = vars(quality.Features)[name].func
+        again = quality.cached_property(lambda self, name=name, whole=whole: (made.update([name]), whole(self))[1])
+        again.__set_name__(quality.Features, name)
+        monkeypatch.setattr(quality.Features, name, again)
+    f = quality.counted("some words of a text. " * 30)
+    quality.base_failed(f)
+    quality.passes(list(quality.MORE_RULES), quality.MORE_RULES)(f)
+    assert set(made.values()) == {1}
+
+
 def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
