@@ -47,6 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: what is dear to make is made once."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI or a plain local path. s3a:// and s3n://, Spark's names for S3, go by s3://."""
     import pyarrow.fs as pafs

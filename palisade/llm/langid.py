@@ -4,7 +4,12 @@ Four pieces of evidence are summed as log likelihoods: the text (byte trigrams,
 trigrams aren't independent), the declared markup language, and the prior of the host, which is smoothed towards that
 of its domain, which is smoothed towards that of its address suffix, which is smoothed towards that of all rows. Priors
 and the reliability of declarations come from grouped aggregation over all rows, of the language that the text alone
-speaks for; the text model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS).
+speaks for; the text model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, SAMPLE_CHARS), of distinct texts,
+with as many for each language that any row names. Hosts, domains and suffixes meet by join_skewed(): a domain of very many
+hosts or a suffix of very many domains is no one task's. Markup is taken away by a scanner that passes over it once.
+
+Repeated rows and ids are rows of their own, and all count; an empty table gives no rows; of extra columns,
+accept_documents() returns all as they are and identify_pages() none.
 
 Nulls: a null text or html gives no text evidence (it tells nothing apart and joins no count); a null address is a host
 of its own; a null or unknown declaration is evidence of its own kind. Ties go to the first language in order.
@@ -18,31 +23,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_skewed, map_texts, pieces
+from .common import cut, join_skewed, map_texts, pieces, written
 
-SAMPLE_ROWS = 2000
+#: Rows of the text model's sample, and characters of each.
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 10_000
 BINS, SMOOTH, TEMPER = 1 << 15, 0.5, 0.25
 #: Weight, in rows, of the next wider level in a host's, domain's or suffix's prior; and of agreement in declarations.
 ALPHA, BETA = 10.0, 1.0
 MIN_POSTERIOR = 0.6
 #: The one language of a model fitted on no rows.
 NO_LANGUAGE = "und"
-_DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""")
+_RAW = re.compile(r"(?i)(script|style)\b")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"""(?i)(?<![\w-])lang\s*=\s*["']?([a-z]{2,3})""")
 _LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
 
 
 def visible_text(page: str) -> str:
-    return html_lib.unescape(_DROP.sub(" ", page))
+    """The page without tags, comments, scripts and styles, each of which leaves a space. What is opened and never closed
+    is a tag alone; a "<" that no ">" follows is text. One pass: what has once been looked for in vain isn't again."""
+    out, at, missing = [], 0, set()
+
+    def after(end: str, start: int) -> int:
+        """Where the next end stops; -1 if there is none."""
+        if end in missing:
+            return -1
+        if end in _CLOSE:
+            m = _CLOSE[end].search(page, start)
+            found = m.end() if m else -1
+        else:
+            found = page.find(end, start)
+            found = found + len(end) if found >= 0 else -1
+        if found < 0:
+            missing.add(end)
+        return found
+
+    while (start := page.find("<", at)) >= 0:
+        raw = _RAW.match(page, start + 1)
+        stop = after(raw[1].lower(), raw.end()) if raw else after("-->", start + 4) if page.startswith("<!--", start) else -1
+        if stop < 0:
+            stop = after(">", start + 1)
+        if stop < 0:
+            break
+        out.append(page[at:start])
+        at = stop
+    out.append(page[at:])
+    return html_lib.unescape(" ".join(out))
 
 
 def declared_language(page: str) -> str | None:
-    m = _LANG.search(page)
-    return m[1].lower() if m else None
+    """The lang attribute of the first html tag that has one."""
+    at = 0
+    while m := _HTML.search(page, at):
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        found = _LANG.search(page, m.end(), end)
+        if found:
+            return found[1].lower()
+        at = end
+    return None
 
 
 def trigram_bins(text: str) -> np.ndarray:
@@ -56,21 +100,25 @@ def trigram_bins(text: str) -> np.ndarray:
 class TextModel:
     """Log likelihoods of trigrams by language."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.languages = sorted({lang for _, lang in rows}) or [NO_LANGUAGE]
+    def __init__(self, rows: list[tuple[str, str]], languages: list[str] | None = None):
+        self.languages = languages or sorted({lang for _, lang in rows}) or [NO_LANGUAGE]
         counts = np.full((len(self.languages), BINS), SMOOTH)
         for text, lang in rows:
             counts[self.languages.index(lang)] += np.bincount(trigram_bins(text), minlength=BINS)
         self.log = np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
     @classmethod
-    def fit(cls, labelled: DataFrame, rows: int = SAMPLE_ROWS) -> TextModel:
-        """From the labelled rows (text, lang) of least hash, at most so many."""
-        known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").withColumn("h", F.xxhash64("text", "lang"))
-        # Tasks send on only rows of low hash, about twice as many as are wanted of the whole table.
-        share = min(1.0, 2.0 * rows / max(1, known.count()))
-        low = known.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
-        return cls([(r.text, r.lang) for r in low.orderBy("h", "lang").limit(rows).collect()])
+    def fit(cls, labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TextModel:
+        """From distinct labelled texts of least hash, at most rows in all and as many for each language; of each, at most so many characters."""
+        known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+        n_of = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+        quota = max(1, rows // max(1, len(n_of)))
+        # Tasks send on only rows of low hash, about four times as many as are wanted of the whole table.
+        share = F.create_map(*(x for lang, n in n_of.items() for x in (F.lit(lang), F.lit(int(min(1.0, 4.0 * quota / n) * (1 << 40)))))) if n_of else F.lit(None).cast("map<string,bigint>")
+        low = known.withColumn("h", F.xxhash64("text", "lang")).where(F.pmod("h", F.lit(1 << 40)) <= F.element_at(share, F.col("lang")))
+        low = low.groupBy("lang", "h").agg(F.first(F.substring("text", 1, chars)).alias("text"))
+        best = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= quota)
+        return cls([(r.text, r.lang) for r in best.select("text", "lang").collect()], sorted(n_of))
 
     def score(self, text: str) -> list[float] | None:
         """Tempered log likelihood by language; None if the text has no letters or uniform noise explains it better."""
@@ -126,9 +174,11 @@ class Fusion:
         whole = hosts.agg(*sums).first()
         total = sum(x or 0 for x in whole)
         top = [F.lit(((x or 0) + 1.0) / (total + n)) for x in whole]
-        suffixes = hosts.groupBy("suffix").agg(*sums).select("suffix", smoothed(top).alias("wider"))
-        domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes, "suffix").select("domain", smoothed([F.col("wider")[i] for i in each]).alias("wider"))
-        self.priors = cut(hosts.join(domains, "domain").select("host", "n_rows", smoothed([F.col("wider")[i] for i in each]).alias("prior")))
+        by_domain = cut(hosts.groupBy("domain", "suffix").agg(F.count("*").alias("n_hosts"), *sums))
+        suffixes = cut(by_domain.groupBy("suffix").agg(F.count("*").alias("n_domains"), *sums).select("suffix", "n_domains", smoothed(top).alias("wider")))
+        domains = join_skewed(by_domain, suffixes, ["suffix"], "n_domains")
+        domains = cut(domains.select("domain", "n_hosts", smoothed([F.col("wider")[i] for i in each]).alias("wider")))
+        self.priors = cut(join_skewed(hosts, domains, ["domain"], "n_hosts").select("host", "n_rows", smoothed([F.col("wider")[i] for i in each]).alias("prior")))
 
     def _known(self, rows: DataFrame) -> DataFrame:
         said = F.when(F.col("declared").isin(self.languages), F.col("declared")).otherwise(F.when(F.col("declared").isNull(), "none").otherwise("other"))
@@ -164,7 +214,7 @@ def accept_documents(docs: DataFrame, model: TextModel, min_posterior: float = M
     """The documents in a known language, with all their columns: those with text evidence whose fused posterior reaches min_posterior.
 
     The source is the host and the lang column the declaration. A text without letters, or that uniform noise explains
-    better than any language, is rejected.
+    better than any language, is rejected. Texts are scored once, and written beside their rows to the shared folder.
     """
     names = docs.columns
 
@@ -175,8 +225,7 @@ def accept_documents(docs: DataFrame, model: TextModel, min_posterior: float = M
                 whole = pa.StructArray.from_arrays([part.column(c) for c in names], names=names)
                 yield pa.RecordBatch.from_arrays([whole, ll], names=["row", "ll"])
 
-    seen = map_texts(docs.select("source", "lang", "text"), "text", lambda t: (model.score(t or ""),), ["source", "lang"], "ll array<double>")
-    fusion = Fusion(cut(seen.select(F.col("source").alias("host"), F.lower("lang").alias("declared"), "ll")), model.languages)
-    rows = docs.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField("ll", T.ArrayType(T.DoubleType()))]))
-    rows = rows.select("row", F.col("row.source").alias("host"), F.lower("row.lang").alias("declared"), "ll")
+    kind = T.StructType([T.StructField("row", docs.schema), T.StructField("ll", T.ArrayType(T.DoubleType()))])
+    rows = written(docs.mapInArrow(run, kind), "language").select("row", F.col("row.source").alias("host"), F.lower("row.lang").alias("declared"), "ll")
+    fusion = Fusion(rows.drop("row"), model.languages)
     return fusion.weigh(rows, ["row"]).where(F.col("text_lang").isNotNull() & (F.col("posterior") >= min_posterior)).select("row.*")

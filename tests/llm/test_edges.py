@@ -478,6 +478,88 @@ def test_language(spark, docs, none):
     assert 4 not in {r.doc_id for r in kept.collect()}
 
 
+def test_language_posterior_by_definition(spark, monkeypatch):
+    """The fused posterior against sums over lists of rows; hot domains and suffixes by the broadcast way."""
+    from palisade.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    model = langid.TextModel([(t, lang) for lang, t in MARKED])
+    rng = np.random.default_rng(3)
+    pages = []
+    for i in range(60):
+        lang, t = MARKED[int(rng.integers(3))]
+        said = ["", f' lang="{lang}"', ' lang="fr"', " lang=xx"][int(rng.integers(4))]
+        words = [t.split()[int(j)] for j in rng.integers(0, len(t.split()), int(rng.integers(0, 6)))]
+        host = f"h{int(rng.integers(4))}.d{int(rng.integers(3))}.{'com' if i % 4 else 'fr'}"
+        pages.append((i, f"http://{host}/p", f"<html{said}>{' '.join(words)}</html>"))
+    got = {r.page_id: r for r in langid.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    langs, rows = model.languages, []
+    for i, url, page in pages:
+        ll = model.score(langid.visible_text(page))
+        said = langid.declared_language(page)
+        rows.append((i, url.split("/")[2], "none" if said is None else said if said in langs else "other", ll, None if ll is None else int(np.argmax(ll))))
+    kinds = len(langs) + 2
+
+    def log_said(s, i):
+        n = sum(r[4] == i for r in rows)
+        hits = sum(r[4] == i and r[2] == s for r in rows)
+        return math.log((hits + langid.BETA * (len(langs) + 2 if s == langs[i] else 1)) / (n + langid.BETA * (kinds + len(langs) + 1)))
+
+    def count(i, end):
+        return sum(r[4] == i and r[1].endswith(end) for r in rows)
+
+    def prior(host):
+        level = [(count(i, "") + 1) / (sum(count(j, "") for j in range(len(langs))) + len(langs)) for i in range(len(langs))]
+        for end in ("." + host.split(".")[-1], ".".join(host.split(".")[-2:]), host):
+            total = sum(count(i, end) for i in range(len(langs)))
+            level = [(count(i, end) + langid.ALPHA * w) / (total + langid.ALPHA) for i, w in enumerate(level)]
+        return level
+
+    for i, host, said, ll, _ in rows:
+        logs = np.array([math.log(p) + log_said(said, k) + (ll[k] if ll else 0.0) for k, p in enumerate(prior(host))])
+        want = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert got[i].lang == langs[int(np.argmax(want))] and abs(got[i].posterior - want.max()) < 1e-9
+
+
+def test_markup_is_scanned_once():
+    import time
+
+    cases = {
+        "a<b>c</b>d": "a c d",
+        "x<script a>no <b> this</Script >y": "x y",
+        "x<!-- <b>no</b> -->y": "x y",
+        "x<!-- open <b>y": "x y",
+        "x<style>open <b>y": "x open  y",
+        "1 < 2": "1 < 2",
+        "<scripts>shown</scripts>": " shown ",
+        "&lt;p&gt; &amp;": "<p> &",
+    }
+    for page, want in cases.items():
+        assert langid.visible_text(page) == want, page
+    for page, want in {'<html data-lang="fr" lang="en">': "en", "<HTML LANG=De-at>": "de", "<html><html lang='pt'>": "pt", "<html lang=": None, "<p lang='en'>": None}.items():
+        assert langid.declared_language(page) == want, page
+    for unit in ("<!--", "<script>", "<style", "<", "<html ", "<html lang ", "</script ", "<script></script", "<html lang=" + " " * 50):
+        page = unit * (5_000_000 // len(unit))
+        began = time.process_time()
+        langid.visible_text(page)
+        langid.declared_language(page)
+        assert time.process_time() - began < 8, unit  # a quadratic scan takes hours
+
+
+def test_language_sample(spark):
+    """Copies enter the sample once, and a rare language has its share of it."""
+    rows = [("the same text again and again", "en")] * 300 + [(f"text number {i} of the common language", "en") for i in range(100)] + [("uno dos tres quatro", "es")]
+    seen = {}
+
+    class Probe(langid.TextModel):
+        def __init__(self, sample, languages):
+            seen["rows"], seen["languages"] = sample, languages
+
+    Probe.fit(spark.createDataFrame([(*r, 1) for r in rows] + [(None, "de", 1), ("x", None, 1)], "text string, lang string, h int"), rows=20)
+    assert seen["languages"] == ["en", "es"] and ("uno dos tres quatro", "es") in seen["rows"]
+    assert len(set(seen["rows"])) == len(seen["rows"]) == 11
+
+
 def test_language_model_of_no_rows(none):
     model = langid.TextModel.fit(none)
     assert langid.accept_documents(none, model).count() == 0
