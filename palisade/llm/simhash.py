@@ -8,6 +8,13 @@ counts lie further apart than the radius are skipped. A key emits a spanning for
 linked fingerprints become components by alternating large-star and small-star steps over DataFrames, with lineage cut
 by checkpoints. Copies of a text share a fingerprint and are never expanded into pairs.
 
+A key with more than HOT_KEY fingerprints is split: the bits that it leaves free are cut into BANDS bands in turn, and its
+fingerprints meet under the keys of those. Such a key fixes 48 of 64 bits, so no task ever gets more than 65,536
+fingerprints of a key, however many share it. Hubs of the star steps are dealt out by Spark's skew join.
+
+Repeated rows and ids are rows of their own; an empty table gives no rows; of extra columns, keep_one() returns all as they
+are and near_duplicates() none.
+
 Nulls: a null text, like one without words, has fingerprint zero and is linked like any other; a null doc_id counts in no
 minimum (a component of null ids alone has a null component_id).
 """
@@ -25,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut, join_skewed, map_texts, pieces
 
 SHINGLE, SEED, RADIUS, BANDS, TILE = 3, 42, 2, 4, 512
+#: Fingerprints under one key beyond which the key is split.
+HOT_KEY = 1 << 13
 
 
 def fingerprint(text: str | None) -> int:
@@ -71,26 +80,52 @@ def tiled_links(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> list
         for b in range(a, len(fps), tile):
             if ones[b] - top > radius:
                 break  # counts only rise from here
-            near = np.bitwise_count(fps[a : a + tile, None] ^ fps[None, b : b + tile]) <= radius
-            for i, j in np.argwhere(near):
-                ri, rj = root(a + i), root(b + j)
+            at_a, at_b = np.nonzero(np.bitwise_count(fps[a : a + tile, None] ^ fps[None, b : b + tile]) <= radius)
+            if a == b:
+                at_a, at_b = at_a[at_a < at_b], at_b[at_a < at_b]
+            if not len(at_a):
+                continue
+            # Of all near pairs in the tile, one for each two components as they are now.
+            own = [np.array([root(i) for i in range(s, min(s + tile, len(fps)))]) for s in (a, b)]
+            pairs = np.unique(own[0][at_a] * len(fps) + own[1][at_b])
+            for ri, rj in zip((pairs // len(fps)).tolist(), (pairs % len(fps)).tolist(), strict=True):
+                ri, rj = root(ri), root(rj)
                 if ri != rj:
                     parent[max(ri, rj)] = min(ri, rj)
     roots = [root(i) for i in range(len(fps))]
     return [(int(order[i]), int(order[r])) for i, r in enumerate(roots) if r != i]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
+def band_masks(bits: list[int], radius: int, bands: int) -> list[int]:
+    """Masks (of the bits fixed among the given ones) of the keys under which any two that differ in at most radius of the bits meet."""
+    width = len(bits) // bands
+    parts = [sum(1 << b for b in bits[i * width : (i + 1) * width]) for i in range(bands)]
+    return [sum(p for i, p in enumerate(parts) if i not in free) for free in combinations(range(bands), radius)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _meeting(keyed: DataFrame) -> DataFrame:
+    """keyed (m, k, fp) with n, the number of fingerprints under the key, where it is two or more. Counts are summed before they are shuffled; a key's rows may be many tasks'."""
+    counts = keyed.groupBy("m", "k").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(counts, ["m", "k"])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, hot_key: int = HOT_KEY) -> DataFrame:
     """(a, b) pairs of linked fingerprints whose components are those of all links. distinct: fp, each once."""
-    width = 64 // bands
-    masks = []
-    for free in combinations(range(bands), radius):
-        mask = sum(((1 << width) - 1) << (width * i) for i in range(bands) if i not in free)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))).alias("key"))
-    keyed = keyed.select("fp", "key.m", "key.k")
-    # Only keys with two fingerprints or more go to Python.
-    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("m", "k"))).where("n > 1")
+    masks = band_masks(list(range(64)), radius, bands)
+    keys = F.array(*(F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)))
+    met = cut(_meeting(distinct.select("fp", F.explode(keys).alias("key")).select("key.m", "key.k", "fp")))
+    groups = met.where(F.col("n") <= hot_key)
+    if (met.agg(F.max("n")).first()[0] or 0) > hot_key:
+        finer = F.lit(None)
+        for i, m in enumerate(masks):
+            below = [m | x for x in band_masks([b for b in range(64) if not m >> b & 1], radius, bands)]
+            finer = F.when(F.col("m") == i, F.array(*(F.struct(F.lit((i + 1) * 1000 + j).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("k")) for j, x in enumerate(below)))).otherwise(finer)
+        split = met.where(F.col("n") > hot_key).select("fp", F.explode(finer).alias("key")).select("key.m", "key.k", "fp")
+        groups = groups.unionByName(_meeting(split))
 
     def compare(table: pa.Table) -> pa.Table:
         fps = np.unique(table.column("fp").to_numpy().view(np.uint64))
@@ -116,30 +151,34 @@ def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> Data
         if held:
             yield from compare(pa.Table.from_batches(held)).to_batches()
 
-    grouped = keyed.select("m", "k", "fp").sortWithinPartitions("m", "k")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = groups.select("m", "k", "fp").repartition(n, "m", "k").sortWithinPartitions("m", "k")
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): root is the least vertex reachable. Large-star and small-star, to a fixed point."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    signature = None
     for _ in range(max_rounds):
+        if _are_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == signature:
-            break
-        signature = now
     else:
         raise RuntimeError("components did not converge")
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge down or is the end of such, never both: then edges lead to the least vertices."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("end")), F.struct(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("end")))).alias("e")).select("e.*")
+    return ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("end").alias("end")).where("down > 1 OR down = 1 AND end = 1").isEmpty()
+
+
 def fingerprint_components(prints: DataFrame) -> DataFrame:
     """fp, n_rows, component_id, and component (its least fingerprint), for each distinct fp of prints (doc_id, fp)."""
     distinct = cut(prints.groupBy("fp").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("least")))
@@ -152,7 +191,7 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     prints = cut(fingerprints(docs))
-    placed = join_skewed(prints, fingerprint_components(prints).drop("component"), ["fp"])
+    placed = join_skewed(prints, cut(fingerprint_components(prints).drop("component")), ["fp"])
     return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -423,6 +423,46 @@ def test_simhash_chains(spark):
     assert [got[f] for f in order] == comp.tolist()
 
 
+def test_simhash_hot_key_is_split(spark):
+    """Very many fingerprints under one band key: found as by brute force, and no task gets more than a few of them."""
+    rng = np.random.default_rng(8)
+    low = rng.choice(1 << 32, 4000, replace=False).astype(np.uint64)
+    fps = np.unique(np.concatenate([low, low ^ np.uint64(1 << 7), low ^ np.uint64((1 << 30) | 2)]))  # the upper bands are zero in all
+    prints = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    want = _forest_classes(fps, [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2).tolist() if j > i])
+    for hot_key in (100, 1 << 20):
+        at = {int(f): i for i, f in enumerate(fps)}
+        got = [(at[r.a], at[r.b]) for r in simhash.links(prints, hot_key=hot_key).collect()]
+        assert _forest_classes(fps, got) == want
+    masks = simhash.band_masks(list(range(64)), 2, 4)
+    for m in masks:
+        finer = simhash.band_masks([b for b in range(64) if not m >> b & 1], 2, 4)
+        assert len(finer) == 6 and all((m | x).bit_count() == 48 and not m & x for x in finer)
+
+
+def _forest_classes(fps, pairs):
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(fps))]
+
+
+def test_components_of_any_graph(spark):
+    rng = np.random.default_rng(12)
+    shapes = {"path": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 50)], "random": [tuple(map(int, rng.integers(0, 200, 2))) for _ in range(150)], "none": []}
+    for pairs in shapes.values():
+        want = _forest_classes(range(200), pairs)
+        got = {r.v: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert [got.get(i, i) for i in range(200)] == want
+
+
 def test_warc(spark):
     big, other = "<html>" + "x" * 200 + "</html>", "é" * 60
     pages = [(5, "http://a.example/1", big), (3, "http://a.example/2", big), (None, None, big), (9, "http://b.example/\r\nX: y", other), (4, "u", other), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (3, "u", big)]
