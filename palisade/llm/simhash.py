@@ -21,15 +21,16 @@ minimum (a component of null ids alone has a null component_id).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, join_skewed, map_texts, pieces
+from .common import cut, join_skewed, map_texts, pieces, written
 
 SHINGLE, SEED, RADIUS, BANDS, TILE = 3, 42, 2, 4, 512
 #: Fingerprints under one key beyond which the key is split.
@@ -195,20 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_rows(docs: DataFrame, mark: Callable[[str | None], int], stays: DataFrame) -> DataFrame:
-    """The rows of docs, one each, of the doc_id and mark of text in stays (id, fp): of several, the one of least text hash."""
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                fps = [mark(t) for t in part.column("text").to_pylist()]
-                whole = pa.StructArray.from_arrays([part.column(c) for c in names], names=names)
-                yield pa.RecordBatch.from_arrays([whole, pa.array(fps, pa.int64())], names=["row", "fp"])
-
-    from pyspark.sql import types as T
-
-    marked = docs.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField("fp", T.LongType())]))
+def kept_rows(marked: DataFrame, stays: DataFrame) -> DataFrame:
+    """Of marked (row, fp) the rows, one each, of the doc_id and fp in stays (id, fp): of several, the one of least text hash."""
     row_id = F.col("row.doc_id")
     found = marked.withColumn("id", row_id).join(stays.withColumnRenamed("fp", "kept_fp").withColumnRenamed("id", "kept_id"), (F.col("fp") == F.col("kept_fp")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
     one = found.withColumn("n", F.row_number().over(Window.partitionBy("fp", "id").orderBy(F.xxhash64("row.text"), "row.text")))
@@ -217,9 +206,17 @@ def kept_rows(docs: DataFrame, mark: Callable[[str | None], int], stays: DataFra
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the one of least doc_id (null last), then least fingerprint and text hash."""
-    kind = docs.schema["doc_id"].dataType
-    prints = cut(fingerprints(docs))
+    kind, names = docs.schema["doc_id"].dataType, docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                whole = pa.StructArray.from_arrays([part.column(c) for c in names], names=names)
+                yield pa.RecordBatch.from_arrays([whole, pa.array([fingerprint(t) for t in part.column("text").to_pylist()], pa.int64())], names=["row", "fp"])
+
+    marked = written(docs.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField("fp", T.LongType())])), "simhash")
+    prints = marked.select(F.col("row.doc_id").alias("doc_id"), "fp")
     parts = fingerprint_components(prints)
     least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first"))
     stays = parts.join(least, "fp").groupBy("component").agg(F.min(F.struct("first.none", "first.id", "fp")).alias("s")).select(F.col("s.id").cast(kind).alias("id"), F.col("s.fp").alias("fp"))
-    return kept_rows(docs, fingerprint, stays)
+    return kept_rows(marked, stays)
