@@ -171,7 +171,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = cut(small)
     else:
         raise RuntimeError("components did not converge")
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))  # checkpointed
 
 
 def _are_stars(edges: DataFrame) -> bool:
