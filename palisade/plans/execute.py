@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +15,10 @@ from pyspark.sql import types as T
 from ..functions.fixed import ALL_OPERATIONS, ALWAYS_REFUSED
 from ..operators.scan import scan_rows
 from .policy import PolicyEngine, PolicyVerdict, SQLPolicy, Verdict
+from .sqllex import analyse
 
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+_BY_NAME = re.compile(r"(?i)(?:plan|expression)withunresolvedidentifier|unresolvedidentifier")
 VERDICT_TYPE = "verdict string, safe_sql string, violations array<string>"
 
 
@@ -51,18 +56,28 @@ class GuardedResult:
         return f"[BLOCKED] {'; '.join(self.verdict.violations)}" if self.rows is None else None
 
 
+def planned_tables(plan: str) -> Counter:
+    """How often each table is read in a parsed plan, by last name; a name that is made at run time counts as a table without one."""
+    found = Counter(x.split(",")[-1].strip().lower() for x in _RELATION.findall(plan))
+    return found + Counter({"": len(_BY_NAME.findall(plan))})
+
+
 def guarded_sql(spark: SparkSession, sql: str, policy: SQLPolicy, user_id: int | None = None, scan: bool = True, compat: bool = False) -> GuardedResult:
     """Runs sql if the policy lets it, in its safe form, with injected instructions in the result replaced.
 
-    The safe form is parsed by Spark too, so nothing runs that either parser refuses. The user filter and the cap are part
-    of the plan: Catalyst pushes the filter to the scan and joins the cap with the query's own limits.
+    The safe form is parsed by Spark too: nothing runs that either parser refuses, or in which Spark finds other tables
+    than the policy has judged. The user filter and the cap are part of the plan: Catalyst pushes the filter to the scan
+    and joins the cap with the query's own limits.
     """
     verdict = PolicyEngine(policy, user_id, compat).validate(sql)
     if verdict.verdict != Verdict.BLOCKED:
         try:
-            spark._jsparkSession.sessionState().sqlParser().parsePlan(verdict.safe_sql)
+            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(verdict.safe_sql).toString()
         except Exception as e:  # py4j wraps every parser error
             verdict = PolicyVerdict.blocked(verdict.original_sql, f"Invalid SQL: {str(e).splitlines()[0][:200]}")
+        else:
+            if Counter(t.name for t in analyse(verdict.safe_sql).tables) != planned_tables(plan):
+                verdict = PolicyVerdict.blocked(verdict.original_sql, "Invalid SQL: Spark finds other tables in it than the policy")
     if verdict.verdict == Verdict.BLOCKED:
         return GuardedResult(verdict, None)
     rows = spark.sql(verdict.safe_sql)

@@ -55,6 +55,10 @@ def lex(sql: str) -> list[Token]:
         m = _TOKEN.match(sql, at)
         if not m:
             raise InvalidSql(f"unexpected character {sql[at]!r} at {at}")
+        if m.lastgroup in ("string", "quoted") and "\\" in m[0]:
+            raise InvalidSql("a backslash in quotes, which dialects read differently")
+        if m[0].startswith("/*") and "/*" in m[0][2:]:
+            raise InvalidSql("a comment within a comment, which dialects read differently")
         if m.lastgroup != "space":
             out.append(Token(m.lastgroup, m[0], at, m.end()))
         at = m.end()
@@ -68,6 +72,7 @@ class TableRef:
     start: int  # of the name in the text
     end: int  # of name and alias
     is_cte: bool = False
+    qualifier: str = ""  # database or catalog, as written
 
 
 @dataclass
@@ -86,6 +91,8 @@ class Analysis:
     aliases: list[dict[str, str]] = field(default_factory=list)  # by scope: alias -> table
     parents: list[int] = field(default_factory=list)  # by scope: the scope around it
     limits: list[tuple[int, int | None, int, int]] = field(default_factory=list)  # depth, value, start and end of the value
+    functions: list[str] = field(default_factory=list)  # names of functions called, in lower case
+    table_functions: list[str] = field(default_factory=list)  # those that stand for a table
     length: int = 0  # end of the query's text, without a final semicolon
 
     def resolve(self, qualifier: str, scope: int) -> str:
@@ -110,7 +117,7 @@ class _Walker:
         if first not in STATEMENTS and first != "(":
             raise InvalidSql(f"no statement begins with {self.t[0].text!r}")
         self.i = 0
-        self.ctes: set[str] = set()
+        self.ctes: frozenset[str] = frozenset()  # names of common table expressions that can be seen here
         self.out = Analysis(first, length=self.t[-1].end)
 
     def peek(self, k: int = 0) -> str:
@@ -158,24 +165,36 @@ class _Walker:
                 self.i += 1
 
     def query(self, parent: int, depth: int) -> None:
+        outer = self.ctes
         if self.peek() == "with":
+            self.common_tables(parent, depth)
+        self.body(parent, depth)
+        self.ctes = outer
+
+    def common_tables(self, parent: int, depth: int) -> None:
+        """Each name can be seen from behind its own query on; in it too only where that is recursive."""
+        self.i += 1
+        recursive = self.peek() == "recursive"
+        self.i += recursive
+        while True:
+            if not self.is_name():
+                raise InvalidSql("a common table expression has no name")
+            name = {self.t[self.i].name.lower()}
             self.i += 1
-            if self.peek() == "recursive":
-                self.i += 1
-            while True:
-                if not self.is_name():
-                    raise InvalidSql("a common table expression has no name")
-                self.ctes.add(self.t[self.i].name.lower())
-                self.i += 1
-                if self.peek() == "(":
-                    self.skip_parens()
-                self.expect("as")
-                self.expect("(")
-                self.query(parent, depth + 1)
-                self.expect(")")
-                if self.peek() != ",":
-                    break
-                self.i += 1
+            if self.peek() == "(":
+                self.skip_parens()
+            self.expect("as")
+            self.expect("(")
+            if recursive:
+                self.ctes |= name
+            self.query(parent, depth + 1)
+            self.ctes |= name
+            self.expect(")")
+            if self.peek() != ",":
+                break
+            self.i += 1
+
+    def body(self, parent: int, depth: int) -> None:
         while True:
             if self.peek() == "(":
                 self.i += 1
@@ -252,6 +271,7 @@ class _Walker:
                 self.alias()
             elif self.is_name():
                 if self.peek(1) == "(":
+                    self.out.table_functions.append(self.t[self.i].name.lower())
                     self.item(scope, depth)
                     self.alias()
                 else:
@@ -289,7 +309,7 @@ class _Walker:
         name = parts[-1].lower()
         if alias:
             end = self.t[self.i - 1].end
-        self.out.tables.append(TableRef(name, alias, start, end, len(parts) == 1 and name in self.ctes))
+        self.out.tables.append(TableRef(name, alias, start, end, len(parts) == 1 and name in self.ctes, ".".join(parts[:-1])))
         self.out.aliases[scope][(alias or name).lower()] = name
 
     def alias(self) -> str | None:
@@ -382,6 +402,7 @@ class _Walker:
             self.expect("end")
             return True
         if kind in ("word", "quoted") and self.peek(1) == "(" and word not in OPERATORS - {"first", "last", "any"} and word not in CLAUSES:
+            self.out.functions.append(self.t[self.i].name.lower())
             self.i += 2
             self.expression(scope, depth, set(), call=True)
             self.expect(")")

@@ -395,6 +395,29 @@ guarded("SELECT l_returnflag, COUNT(l_orderkey) AS n, CAST(AVG(l_quantity) AS DE
 guarded("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders) ORDER BY o_orderkey", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) ORDER BY o_orderkey LIMIT 50", "guarded_subquery")
 guarded("SELECT t.o_orderkey FROM (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%' ORDER BY o_orderkey LIMIT 30) t ORDER BY t.o_orderkey DESC", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' ORDER BY o_orderkey LIMIT 30) t ORDER BY o_orderkey DESC LIMIT 50", "guarded_derived")
 guarded("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 40 AND o_orderstatus IN ('F', 'O') ORDER BY o_orderkey", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 40 AND o_orderstatus IN ('F', 'O') ORDER BY o_orderkey LIMIT 50", "guarded_between")
+guarded("WITH events AS (SELECT event_id, user_id, value FROM events) SELECT event_id, user_id, value FROM events ORDER BY event_id", "SELECT event_id, user_id, value FROM events WHERE user_id = 7 ORDER BY event_id LIMIT 50", "guarded_cte_shadow")
+
+#: Ways around a policy that names tables, functions or columns by other means, and why each is blocked (fixed truth table).
+BYPASSES = [
+    ("WITH part AS (SELECT p_name FROM part) SELECT p_name FROM part", "Forbidden table: part"),
+    ("WITH a AS (SELECT c_name FROM customer), part AS (SELECT p_name FROM part) SELECT a.c_name FROM a", "Forbidden table: part"),
+    ("SELECT c_name FROM (WITH part AS (SELECT c_name FROM customer) SELECT c_name FROM part) x JOIN part ON true", "Forbidden table: part"),
+    ("SELECT p_name FROM IDENTIFIER('part')", "Forbidden function: identifier"),
+    ("SELECT IDENTIFIER('c_acctbal') FROM customer", "Forbidden function: identifier"),
+    ("SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM customer", "Forbidden function: reflect"),
+    ("SELECT JAVA_METHOD('java.lang.System', 'getProperty', 'user.home') FROM customer", "Forbidden function: java_method"),
+    ("SELECT c_name FROM other.customer", "Forbidden table: other.customer"),
+    ("SELECT c_name FROM parquet.`/tmp/customer`", "Forbidden table: /tmp/customer"),
+    ("SELECT x FROM read_files('/tmp')", "Forbidden table: read_files()"),
+    ("SELECT '\\'' AS a, p_name FROM part -- '", "Invalid SQL: a backslash in quotes, which dialects read differently"),
+]
+
+
+@query(f"SELECT unnest(range({len(BYPASSES)}))::INT AS n, 'BLOCKED' AS verdict, unnest({sql_list(why for _, why in BYPASSES)}) AS violations")
+def policy_bypass(spark, sf_dir):
+    cases = spark.createDataFrame([(i, sql) for i, (sql, _) in enumerate(BYPASSES)], "n int, query string")
+    return with_verdicts(cases, "query", POLICY, USER).select("n", "verdict", F.array_join("violations", "; ").alias("violations"))
+
 
 # Traces
 

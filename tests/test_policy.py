@@ -89,3 +89,35 @@ def test_guarded(spark):
     refused = guarded_sql(spark, "DROP TABLE orders", p, 1)
     assert refused.rows is None and refused.message == "[BLOCKED] Forbidden operation: DROP"
     assert guarded_sql(spark, "SELECT id FROM orders WHERE id == = 3", p, 1).rows is None
+
+
+def test_bypasses_are_blocked(spark):
+    """Each on its verdict, and none runs; what Spark alone would read otherwise is caught when it is run."""
+    from palisade.queries import BYPASSES, POLICY, USER
+
+    spark.createDataFrame([(1, 7, "a"), (2, 8, "b")], "event_id int, user_id int, value string").createOrReplaceTempView("events")
+    spark.createDataFrame([("p",)], "p_name string").createOrReplaceTempView("part")
+    spark.createDataFrame([("c", 1.0)], "c_name string, c_acctbal double").createOrReplaceTempView("customer")
+    for sql, why in BYPASSES:
+        got = guarded_sql(spark, sql, POLICY, USER)
+        assert got.rows is None and got.verdict.violations == [why], sql
+    for sql in ("WITH events AS (SELECT event_id, user_id FROM events) SELECT event_id, user_id FROM events", "SELECT e.event_id, e.user_id FROM events e WHERE e.event_id IN (SELECT event_id FROM events)"):
+        assert [tuple(r) for r in guarded_sql(spark, sql, POLICY, USER).rows.collect()] == [(1, 7)]
+
+
+def test_names_of_common_tables_are_seen_where_they_hold():
+    from palisade.plans.sqllex import analyse
+
+    cte = lambda sql: [(t.name, t.is_cte) for t in analyse(sql).tables]
+    assert cte("WITH a AS (SELECT x FROM a) SELECT x FROM a") == [("a", False), ("a", True)]
+    assert cte("WITH RECURSIVE a AS (SELECT x FROM a) SELECT x FROM a") == [("a", True), ("a", True)]
+    assert cte("WITH a AS (SELECT x FROM t), b AS (SELECT x FROM a) SELECT x FROM b") == [("t", False), ("a", True), ("b", True)]
+    assert cte("SELECT x FROM (WITH a AS (SELECT x FROM t) SELECT x FROM a) s, a") == [("t", False), ("a", True), ("a", False)]
+
+
+def test_tables_of_the_parsed_plan(spark):
+    from palisade.plans.execute import planned_tables
+
+    parse = lambda sql: dict(planned_tables(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()))
+    assert parse("WITH a AS (SELECT x FROM t) SELECT x, (SELECT max(y) FROM u) FROM a WHERE x IN (SELECT z FROM d.v) LIMIT 3") == {"a": 1, "t": 1, "u": 1, "v": 1}
+    assert "" in parse("SELECT x FROM IDENTIFIER('t' || 'u')")
