@@ -1,15 +1,21 @@
-"""Document fingerprints as Merkle trees.
-
-A text is cut, losing nothing, into leaves (sentences and line ends; a long run without either is cut behind words that
-their hash picks, so that an edit moves no cut elsewhere). Leaves form sections, which end at a blank line or at a leaf
-that its hash picks; sections hang from the root. The fingerprint is the tree as a string, `root:section;section...`
-with each section as `digest,leaf,leaf...` and each leaf as eight hex digits of its digest and its length in base 36.
-Roots test equality; below unequal roots, equal sections are passed over and the leaves of the others show where the
-texts differ (differences()). The likeness of two fingerprints is twice the length of the leaves that they share, over
-the sum of their lengths: 1 for equal roots.
-
-Nulls: a null text is an empty one. Documents follow one another by descending doc_id, nulls last; rows of equal id by
-a hash of their text, then by the text.
+"""Document fingerprints as Merkle trees over paragraphs and sections.
+
+A text is cut, losing nothing, into paragraphs (up to and with their line ends), and paragraphs into leaves of MIN_LEAF to
+MAX_LEAF characters, wherever a rolling hash of the last WINDOW characters picks the place, so that an edit moves no cut
+far from it, whatever the script and with or without white space. Paragraphs form sections, which end at a blank line or
+at a paragraph that its digest picks; sections hang from the root. A leaf's digest is that of its text; a paragraph's,
+a section's and the root's is that of its children's whole digests, 128 bits each. Nothing hashes the text as a whole:
+equal roots mean equal trees, and so equal texts.
+
+The fingerprint is the tree as a string, `root:section;section...`, with each section as `digest=paragraph|paragraph...`,
+each paragraph as `digest-leaf,leaf...` (of one leaf: that leaf), and each leaf as eight hex digits of its digest and its
+length in base 36. compare() descends from unequal roots into unequal sections, and there into unequal paragraphs; the
+leaves that are left say where the texts differ (differences()) and how much (likeness()): twice the length of what is
+shared, over the sum of the lengths, 1 for equal roots.
+
+Nulls: a null text is an empty one, with a root alone. Documents follow one another by descending doc_id (an integer), nulls
+last; rows of equal id by a hash of their text, then by the text; repeated rows follow one another and are equal. An empty
+table gives no rows; a single document is its own next; extra columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -20,15 +26,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces
 
-LEAF_MAX, LEAF_CUT, SECTION_CUT = 400, 16, 16
-_PARTS = re.compile(r"[^\n.!?]*[\n.!?]+[ \t]*|[^\n.!?]+")
-_WORDS = re.compile(r"\s*\S+\s*|\s+")
+WINDOW, MIN_LEAF, MEAN_CUT, MAX_LEAF, SECTION_CUT = 12, 16, 48, 192, 16
+#: Characters whose rolling hash is made at a time.
+HASH_STEP = 1 << 16
+_LINE = re.compile(r"[^\n]*\n+|[^\n]+")
 DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,89 +48,142 @@ def _base36(n: int) -> str:
     return out or "0"
 
 
-def leaves(text: str) -> list[str]:
-    """Parts of the text that joined give the text."""
+def cut_places(text: str) -> list[int]:
+    """Places, in order, behind which the rolling hash of the WINDOW characters before picks a cut."""
     out = []
-    for part in _PARTS.findall(text):
-        if len(part) <= LEAF_MAX:
-            out.append(part)
-            continue
-        at = 0
-        for m in _WORDS.finditer(part):
-            if hashlib.blake2b(m[0].strip().encode(), digest_size=2).digest()[0] % LEAF_CUT == 0 or m.end() - at > 16 * LEAF_MAX:
-                out.append(part[at : m.end()])
-                at = m.end()
-        if at < len(part):
-            out.append(part[at:])
+    for at in range(0, len(text), HASH_STEP):
+        low = max(0, at - WINDOW)
+        x = np.frombuffer(text[low : at + HASH_STEP].encode("utf-32-le", "surrogatepass"), dtype="<u4") * np.uint32(0x9E3779B1)
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        h, times = x.copy(), 1
+        for k in range(1, min(WINDOW, len(x))):
+            times = times * 0xC2B2AE35 % (1 << 32)
+            h[k:] += x[:-k] * np.uint32(times)
+        picked = np.flatnonzero((h >> np.uint32(12)) % np.uint32(MEAN_CUT) == 0) + low + 1
+        out += picked[picked > at].tolist()
+    return out
+
+
+def paragraphs(text: str) -> list[list[str]]:
+    """The leaves of each paragraph; joined, they are the text."""
+    out, places, i = [], cut_places(text), 0
+    for line in _LINE.finditer(text):
+        at, end, own = line.start(), line.end(), []
+        while i < len(places) and places[i] < end:
+            place, i = places[i], i + 1
+            while place - at > MAX_LEAF:
+                own.append(text[at : at + MAX_LEAF])
+                at += MAX_LEAF
+            if place - at >= MIN_LEAF:
+                own.append(text[at:place])
+                at = place
+        while end - at > MAX_LEAF:
+            own.append(text[at : at + MAX_LEAF])
+            at += MAX_LEAF
+        if at < end:
+            own.append(text[at:end])
+        out.append(own)
     return out
 
 
 def fingerprint(text: str | None) -> str:
-    from xxhash import xxh3_64_intdigest, xxh3_64_hexdigest, xxh3_128_hexdigest
+    from xxhash import xxh3_128_digest as digest
 
-    sections, nodes, own = [], [], []
+    sections, nodes, shown, own = [], [], [], []
 
     def close() -> None:
-        digest = xxh3_64_hexdigest("".join(own))
-        nodes.append(digest)
-        sections.append(digest[:8] + "," + ",".join(own))
+        nodes.append(digest(b"section" + b"".join(own)))
+        sections.append(f"{nodes[-1].hex()[:8]}={'|'.join(shown)}")
         own.clear()
-
-    for leaf in leaves(text or ""):
-        h = xxh3_64_intdigest(leaf.encode())
-        own.append(f"{h >> 32:08x}{_base36(len(leaf))}")
-        if h % SECTION_CUT == 0 or "\n\n" in leaf:
+        shown.clear()
+
+    for part in paragraphs(text or ""):
+        below = [digest(leaf.encode()) for leaf in part]
+        leaves = ",".join(d.hex()[:8] + _base36(len(leaf)) for d, leaf in zip(below, part, strict=True))
+        node = digest(b"paragraph" + b"".join(below))
+        own.append(node)
+        shown.append(leaves if len(part) == 1 else f"{node.hex()[:8]}-{leaves}")
+        if node[0] % SECTION_CUT == 0 or part[-1].endswith("\n\n"):
             close()
     if own:
         close()
-    # The root covers the whole digests of the text and of its sections, not only the digits shown.
-    return xxh3_128_hexdigest(xxh3_128_hexdigest((text or "").encode()) + "".join(nodes)) + ":" + ";".join(sections)
+    return digest(b"root" + b"".join(nodes)).hex() + ":" + ";".join(sections)
 
 
-def parse(fp: str) -> tuple[str, list[tuple[str, list[str]]]]:
-    """(root, [(section digest, leaves)])."""
-    root, _, rest = fp.partition(":")
-    return root, [(s[:8], s[9:].split(",")) for s in rest.split(";")] if rest else []
+#: A node of a parsed fingerprint: its digits (a leaf's with its length), its length in characters, its children.
+Node = tuple[str, int, list]
 
 
-def _length(leaf: str) -> int:
-    return int(leaf[8:], 36)
+def parse(fp: str) -> tuple[str, list[Node]]:
+    """(root, sections)."""
+    root, _, rest = fp.partition(":")
+    sections = []
+    for section in rest.split(";") if rest else ():
+        name, _, parts = section.partition("=")
+        below = []
+        for part in parts.split("|"):
+            own, dash, leaves = part.rpartition("-")
+            kids = [(leaf, int(leaf[8:], 36), []) for leaf in leaves.split(",")]
+            below.append((own if dash else leaves, sum(k[1] for k in kids), kids))
+        sections.append((name, sum(b[1] for b in below), below))
+    return root, sections
+
+
+def compare(a: str, b: str) -> tuple[int, int, list[tuple[int, int]]]:
+    """(characters that a and b share, characters of both, spans of a that b doesn't have), by descent into unequal branches."""
+    (ra, sa), (rb, sb) = parse(a), parse(b)
+    total = sum(n[1] for n in sa) + sum(n[1] for n in sb)
+    if ra == rb:
+        return total // 2, total, []
+    left: list[tuple[int, Node]] = []  # with its place in the text
+    at = 0
+    for node in sa:
+        left.append((at, node))
+        at += node[1]
+    right, shared = sb, 0
+    for level in range(3):
+        have = Counter(n[0] for n in right)
+        met, rest = Counter(), []
+        for at, node in left:
+            if have[node[0]] > 0:
+                have[node[0]] -= 1
+                met[node[0]] += 1
+                shared += node[1]
+            else:
+                rest.append((at, node))
+        other = []
+        for node in right:
+            if met[node[0]] > 0:
+                met[node[0]] -= 1
+            else:
+                other.append(node)
+        if level == 2:
+            left = rest
+            break
+        left, right = [], [k for n in other for k in n[2]]
+        for at, node in rest:
+            for k in node[2]:
+                left.append((at, k))
+                at += k[1]
+    spans: list[tuple[int, int]] = []
+    for at, node in left:
+        if spans and spans[-1][1] == at:
+            spans[-1] = spans[-1][0], at + node[1]
+        else:
+            spans.append((at, at + node[1]))
+    return shared, total, spans
 
 
 def likeness(a: str, b: str) -> float:
-    ra, sa = parse(a)
-    rb, sb = parse(b)
-    if ra == rb:
+    if a.partition(":")[0] == b.partition(":")[0]:
         return 1.0
-    total = sum(_length(x) for s in (sa, sb) for _, ls in s for x in ls)
-    la, lb = Counter(x for _, ls in sa for x in ls), Counter(x for _, ls in sb for x in ls)
-    shared = sum(n * _length(x) for x, n in (la & lb).items())
+    shared, total, _ = compare(a, b)
     return min(2.0 * shared / total, 1.0 - 1e-9) if total else 0.0
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
-    """Code point spans of a's text whose leaves b doesn't have in a section of the same digest or among its other leaves."""
-    ra, sa = parse(a)
-    rb, sb = parse(b)
-    if ra == rb:
-        return []
-    same = Counter(d for d, _ in sb)
-    rest = Counter(x for d, ls in sb for x in ls if not any(d == e for e, _ in sa))
-    spans, at = [], 0
-    for d, ls in sa:
-        whole = same[d] > 0
-        same[d] -= whole
-        for x in ls:
-            n = _length(x)
-            if not whole:
-                if rest[x] > 0:
-                    rest[x] -= 1
-                elif spans and spans[-1][1] == at:
-                    spans[-1] = (spans[-1][0], at + n)
-                else:
-                    spans.append((at, at + n))
-            at += n
-    return spans
+    """Code point spans of a's text that b doesn't have."""
+    return compare(a, b)[2]
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -150,7 +211,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     placed = keyed.select("doc_id", "text", "tie", F.explode(places(F.col("doc_id").cast("long"), "tie")).alias("place"))
     placed = placed.select("doc_id", "text", "tie", F.expr("place div 2").cast("int").alias("chunk"), (F.col("place") % 2).alias("ahead"))
-    return placed.repartition(n, "chunk").sortWithinPartitions("chunk", "ahead", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    # A chunk is a partition; by its hash, several would meet in one task.
+    return placed.repartitionById(n, "chunk").sortWithinPartitions("chunk", "ahead", F.col("doc_id").desc_nulls_last(), "tie", "text")
 
 
 def edit(text: str, following: str) -> str:
@@ -160,14 +222,16 @@ def edit(text: str, following: str) -> str:
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document, and
+    edited_spans: where its text isn't in the edited one, as `start-end,start-end...` in code points."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_spans"]
 
     def one(doc_id, text: str, own: str, following: str, their: str) -> tuple:
         edited = edit(text, following)
         other = own if edited == text else fingerprint(edited)
-        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, likeness(own, other), likeness(own, their)
+        spans = ",".join(f"{x}-{y}" for x, y in differences(own, other))
+        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, likeness(own, other), likeness(own, their), spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None  # (chunk, doc_id, text, fingerprint) that waits for the row after it
@@ -180,10 +244,10 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
                     if pending:
                         out.append(one(*pending[1:], text, own))
                     pending = None if ahead else (chunk, doc_id, text, own)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(names), schema, strict=True)], schema=schema)
 
-    schema = pa.schema([("doc_id", _arrow(docs, "doc_id")), ("n_chars", pa.int64()), *((c, pa.string()) for c in names[2:5]), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    return neighbours(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    schema = pa.schema([("doc_id", _arrow(docs, "doc_id")), ("n_chars", pa.int64()), *((c, pa.string()) for c in names[2:5]), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_spans", pa.string())])
+    return neighbours(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_spans string")
 
 
 def _arrow(df: DataFrame, column: str) -> pa.DataType:

@@ -357,16 +357,95 @@ def test_merkle(docs, none):
 
 def test_merkle_parts():
     for r in ROWS:
-        assert "".join(merkle.leaves(r[1] or "")) == (r[1] or "")
-    text = "First sentence here. Second sentence there. Third one now.\n\nNew section starts. It ends."
-    changed = text.replace("Second sentence there. ", "Altered words. ")
+        parts = merkle.paragraphs(r[1] or "")
+        assert "".join(x for p in parts for x in p) == (r[1] or "")
+        assert all(0 < len(x) <= merkle.MAX_LEAF for p in parts for x in p)
+        assert all(len(x) >= merkle.MIN_LEAF for p in parts for x in p[:-1])
+    text = "First sentence here.\nSecond sentence there.\nThird one now.\n\nNew section starts.\nIt ends."
+    changed = text.replace("Second sentence there.", "Altered words.")
     a, b = merkle.fingerprint(text), merkle.fingerprint(changed)
     assert a != b and merkle.fingerprint(text) == a
     (start, end), = merkle.differences(a, b)
-    assert text[start:end] == "Second sentence there. "
+    assert text[start:end] == "Second sentence there.\n"
     assert 0.5 < merkle.likeness(a, b) < 1 and merkle.likeness(a, a) == 1.0 and merkle.differences(a, a) == []
 
 
+def naive_tree(text):
+    """(root, [(leaf, start, end)]): the tree by definition, character by character and without shortcuts."""
+    from xxhash import xxh3_128_digest as digest
+
+    codes, mask = [ord(c) for c in text], (1 << 32) - 1
+
+    def mixed(c):
+        x = c * 0x9E3779B1 & mask
+        return (x ^ x >> 15) * 0x85EBCA6B & mask
+
+    picks = set()
+    for i in range(len(codes)):
+        h = sum(mixed(codes[i - k]) * pow(0xC2B2AE35, k, 1 << 32) for k in range(merkle.WINDOW) if i >= k) & mask
+        if (h >> 12) % merkle.MEAN_CUT == 0:
+            picks.add(i + 1)
+    leaves, nodes, sections, own, start = [], [], [], [], 0
+    for i in range(1, len(text) + 1):
+        last = i == len(text)
+        line = text[i - 1] == "\n" and (last or text[i] != "\n") or last
+        n = i - start
+        if line or n == merkle.MAX_LEAF and not (i in picks and not line) or i in picks and n >= merkle.MIN_LEAF:
+            leaves.append((text[start:i], start, i))
+            own.append(digest(text[start:i].encode()))
+            start = i
+        if line:
+            node = digest(b"paragraph" + b"".join(own))
+            nodes.append(node)
+            own = []
+            if node[0] % merkle.SECTION_CUT == 0 or text[:i].endswith("\n\n") or last:
+                sections.append(digest(b"section" + b"".join(nodes)))
+                nodes = []
+    return digest(b"root" + b"".join(sections)).hex(), leaves
+
+
+def test_merkle_against_definition():
+    rng = np.random.default_rng(2)
+    texts = []
+    for kind in range(4):
+        alphabet = ["abcdefgh ", "ab\n", "中文字符日本語 ", "aé😀. \n"][kind]
+        for _ in range(8):
+            texts.append("".join(alphabet[int(i)] for i in rng.integers(0, len(alphabet), int(rng.integers(0, 1500)))))
+    texts += ["", "\n", "a" * 1000, "\n\n\n"]
+    for t in texts:
+        u = t[: len(t) // 2] + "X" * int(rng.integers(0, 3)) + t[len(t) // 2 + int(rng.integers(0, 9)) :]
+        (root, leaves), (other, theirs) = naive_tree(t), naive_tree(u)
+        a, b = merkle.fingerprint(t), merkle.fingerprint(u)
+        assert a.partition(":")[0] == root and b.partition(":")[0] == other and (root == other) == (t == u)
+        both = collections.Counter(x for x, _, _ in leaves) & collections.Counter(x for x, _, _ in theirs)
+        shared = sum(len(x) * n for x, n in both.items())
+        assert t == u or abs(merkle.likeness(a, b) - (2 * shared / (len(t) + len(u)) if t or u else 0)) < 1e-8
+        covered = sum(y - x for x, y in merkle.differences(a, b))
+        assert covered == (0 if t == u else len(t) - shared)
+        left = collections.Counter(x for x, _, _ in leaves) - collections.Counter(x for x, _, _ in theirs)
+        for x, y in merkle.differences(a, b):  # spans are whole leaves, none of which the other text has to spare
+            inside = [leaf for leaf, s, e in leaves if x <= s and e <= y]
+            assert sum(map(len, inside)) == y - x and t == u or not collections.Counter(inside) - left or len(left) == 0
+
+
+def test_merkle_long_texts_are_hashed_in_steps(monkeypatch):
+    whole = [merkle.cut_places(r[1] or "") for r in ROWS]
+    monkeypatch.setattr(merkle, "HASH_STEP", 50)
+    assert [merkle.cut_places(r[1] or "") for r in ROWS] == whole
+
+
+def test_merkle_edits_are_found_in_any_script():
+    rng = np.random.default_rng(6)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz    ", "中文字符日本語漢字仮名交文", "0123456789abcdef"):
+        for n in (300, 3000):
+            text = "".join(alphabet[int(i)] for i in rng.integers(0, len(alphabet), n))
+            edited = text[: n // 2] + "#" + text[n // 2 + 1 :]
+            a, b = merkle.fingerprint(text), merkle.fingerprint(edited)
+            (start, end), = merkle.differences(a, b)
+            assert start <= n // 2 < end and end - start <= 2 * merkle.MAX_LEAF
+            assert merkle.likeness(a, b) >= 1 - 2 * merkle.MAX_LEAF / n
+
+
 def brute_components(items):
     fps = [simhash.fingerprint(t) & (2**64 - 1) for _, t in items]
     comp = list(range(len(items)))
