@@ -7,13 +7,16 @@ mean of its own estimate and the product of its children's weighted probabilitie
 that training never had adds no node, so the mixture ends at the deepest context seen. A document's score is the log10
 probability of its bytes under the trees of the training documents, which are fixed before any document is scored.
 
-Documents are dealt by hash into blocks of about BLOCK_CHARS characters. A block names, to the buckets that hold them,
-the distinct contexts and words that it has, with its training counts; buckets (a context bucket holds whole subtrees
-below two-byte contexts) sum the counts, build their trees and answer with the log probability of each context and byte,
-or the count of each word. Nothing of a bucket goes anywhere else, but for the two shallowest levels of the trees, whose
-at most 65,280 nodes are summed in Spark and handed to all. Words are told apart by 64-bit hashes.
-
-Nulls: a null text is an empty one; a null doc_id isn't held out.
+Documents are dealt by hash into blocks of about BLOCK_BYTES. A block names, to the buckets that hold them, the distinct
+contexts and words that it has, with its training counts (a context bucket holds whole subtrees below two-byte contexts).
+Counts of a bucket are summed FAN blocks at a time, in rounds, to one table of its distinct keys; its trees are built of
+that, and give the log probability of each context and byte, or the count of each word. Tables then meet the requests
+of GROUP blocks at a time, however many there are: no task gets all requests of a bucket. Nothing else goes anywhere
+but the two shallowest levels of the trees, whose at most 65,280 nodes are summed in Spark and handed to all. The number
+of buckets follows that of blocks, to MAX_BUCKETS. Words are told apart by 64-bit hashes.
+
+Nulls: a null text is an empty one; a null doc_id isn't held out. Repeated rows and ids are rows of their own, and all count;
+an empty table gives no rows; extra columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DEPTH, END = 5, 0xFF
-BLOCK_CHARS, CHUNK_BYTES = 32_000_000, 4 << 20
+BLOCK_BYTES, BLOCK_ROWS, CHUNK_BYTES = 32_000_000, 500_000, 4 << 20
+#: Blocks whose counts are summed at a time, and whose requests are answered at a time.
+FAN, GROUP, MAX_BUCKETS = 16, 64, 4096
 FOLDS, HELD_OUT_FOLD = 10, 0
 #: The key of the end token: no word has a space.
 END_WORD = b" "
@@ -232,6 +237,8 @@ class Roots:
 
 
 REQUEST = "block int, bucket int, keys binary, counts binary"
+TABLE = "bucket int, part int, keys binary, counts binary"
+VALUES = "bucket int, keys binary, found binary"
 ANSWER = "block int, bucket int, keys binary, found binary"
 
 
@@ -265,6 +272,13 @@ def summed_fast(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.nda
     return summed(keys, train.astype(np.int64))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, keys, counts) of each row, one at a time."""
+    for batch in batches:
+        for bucket, keys, counts in zip(batch.column("bucket"), batch.column("keys"), batch.column("counts"), strict=True):
+            yield bucket.as_py(), unpack_keys(keys.as_py()), unpack(counts.as_py(), np.int64)
+
+
 def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     asked = [unpack_keys(k) for k in table.column("keys").to_pylist()]
     counts = [unpack(c, np.int64) for c in table.column("counts").to_pylist()]
@@ -272,10 +286,10 @@ def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 
 def score_documents(docs: DataFrame, folds: int = FOLDS, held_out_fold: int = HELD_OUT_FOLD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-int(total[0]) // BLOCK_CHARS), -(-int(total[1]) // 500_000))
-    buckets = max(4, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks))
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length per byte of the scored text) of every document."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-int(total[0]) // BLOCK_BYTES), -(-int(total[1]) // BLOCK_ROWS))
+    buckets = min(MAX_BUCKETS, max(8, 2 * blocks))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
     dealt = docs.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
@@ -284,31 +298,48 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out_fold: int = HE
 
     requests = cut(dealt.groupBy("block").applyInArrow(ask, REQUEST))
 
-    def sums(table: pa.Table) -> pa.Table:
-        """Of a context bucket its part of the depth-one nodes; of a word bucket, as node -1, tokens and types of training."""
+    def merge(table: pa.Table) -> pa.Table:
         _, keys, counts = _merged(table)
-        if table.column("bucket")[0].as_py() < 0:
-            cols = [-1], [int(counts.sum())], [int((counts > 0).sum())], [0.0]
-        else:
-            cols = Subtrees(keys, counts).tops()
-        return pa.table(dict(zip(("node", "n0", "n1", "below"), (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)), strict=True)))
+        first = table.slice(0, 1)
+        return pa.table({"bucket": first.column("bucket"), "part": first.column("part"), "keys": pa.array([pack_keys(keys)], pa.binary()), "counts": pa.array([pack(counts)], pa.binary())})
+
+    tables, left = requests.withColumnRenamed("block", "part"), blocks
+    while True:
+        tables = tables.select("bucket", F.expr(f"part div {FAN}").cast("int").alias("part"), "keys", "counts").groupBy("bucket", "part").applyInArrow(merge, TABLE)
+        left = -(-left // FAN)
+        if left == 1:
+            break
+    tables = cut(tables)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a context bucket its part of the depth-one nodes; of a word bucket, as node -1, tokens and types of training."""
+        for bucket, keys, counts in _rows(batches):
+            cols = ([-1], [int(counts.sum())], [int((counts > 0).sum())], [0.0]) if bucket < 0 else Subtrees(keys, counts).tops()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["node", "n0", "n1", "below"])
 
-    nodes = requests.groupBy("bucket").applyInArrow(sums, "node long, n0 long, n1 long, below double")
+    nodes = tables.mapInArrow(sums, "node long, n0 long, n1 long, below double")
     # Summed by Spark to 65,281 rows at most.
     rows = [tuple(r) for r in nodes.groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()]
     train_tokens, train_types = next(((r[1], r[2]) for r in rows if r[0] == -1), (0, 0))
     roots = docs.sparkSession.sparkContext.broadcast(Roots([r for r in rows if r[0] >= 0]))  # 65,280 nodes: 1.6 MB
 
-    def answer(table: pa.Table) -> pa.Table:
-        asked, keys, counts = _merged(table)
-        if table.column("bucket")[0].as_py() < 0:
-            values = counts.astype(np.int64)
-        else:
-            values = Subtrees(keys, counts).log10_probability(keys, roots.value).astype(np.float32)
-        found = [pack(values[np.searchsorted(keys, a)]) for a in asked]
-        return table.drop_columns(["counts"]).append_column("found", pa.array(found, pa.binary()))
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, keys, counts in _rows(batches):
+            found = counts.astype(np.int64) if bucket < 0 else Subtrees(keys, counts).log10_probability(keys, roots.value).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack(found)], pa.binary())], names=["bucket", "keys", "found"])
+
+    values = tables.mapInArrow(value, VALUES).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))))
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        kind = np.int64 if asked.column("bucket")[0].as_py() < 0 else np.float32
+        keys, found = unpack_keys(table.column("keys")[0].as_py()), unpack(table.column("found")[0].as_py(), kind)
+        answers = [pack(found[np.searchsorted(keys, unpack_keys(k))]) for k in asked.column("keys").to_pylist()]
+        return asked.select(["block", "bucket", "keys"]).append_column("found", pa.array(answers, pa.binary()))
 
-    answers = requests.groupBy("bucket").applyInArrow(answer, ANSWER)
+    asked = requests.select("block", "bucket", "keys", F.expr(f"block div {GROUP}").cast("int").alias("group"))
+    # Only groups of blocks that ask a bucket are met: an inner join, as a group without requests has no answers.
+    met = lambda a, v: answer(a, v) if a.num_rows else pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("found", pa.binary())]).empty_table()
+    answers = asked.groupBy("bucket", "group").cogroup(values.groupBy("bucket", "group")).applyInArrow(met, ANSWER)
     floor = 0.1 * (train_types + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -320,9 +351,10 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out_fold: int = HE
             found = np.concatenate([unpack(right.column("found")[i].as_py(), kind) for i in mine])
             order = np.argsort(keys)
             tables[contexts] = keys[order], found[order]
-        n_tokens, n_known, base, model = [], [], [], []
+        n_tokens, n_known, base, model, sizes = [], [], [], [], []
         for _, words, lines in chunks(left.column("text").to_pylist()):
             n = len(lines)
+            sizes += [len(x) + 1 for x in lines]
             keys, index = context_keys(lines)
             both = np.sort((keys << np.uint64(16)) | index)  # 48 bits of key, 16 of index
             keys, index = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
@@ -335,9 +367,10 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out_fold: int = HE
             n_known.append(np.bincount(index, weights=c > 0, minlength=n).astype(np.int64))
             base.append(np.bincount(index, weights=np.log10((c + 0.1) / (train_tokens + floor)), minlength=n))
         rows = left.num_rows
-        cols = [pa.array(np.concatenate(n_tokens)), pa.array(np.concatenate(n_known)), pa.array(np.full(rows, train_tokens, dtype=np.int64)), pa.array(np.concatenate(base)), pa.array(np.concatenate(model))]
-        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        bits = np.concatenate(model) / (-np.log10(2) * np.array(sizes))
+        cols = [pa.array(np.concatenate(n_tokens)), pa.array(np.concatenate(n_known)), pa.array(np.full(rows, train_tokens, dtype=np.int64)), pa.array(np.concatenate(base)), pa.array(np.concatenate(model)), pa.array(bits)]
+        return pa.Table.from_arrays([left.column("doc_id"), left.column("held_out"), *cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)

@@ -328,6 +328,22 @@ def test_lm_against_recursion(spark):
         assert abs(got[i] - naive_ctw(train, x)) < 1e-4
 
 
+def test_lm_over_many_blocks(spark, monkeypatch):
+    """Blocks, rounds of sums and groups of requests change no score; and the code length per byte is that of the score."""
+    texts = ["abra cadabra abra", "cad abra cad", "the cat sat on the mat", "a mat for the cat", "Abra the Cat", "", None, "été à la mer"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r for r in ctw.score_documents(df).collect()}
+    for name, n in (("BLOCK_BYTES", 40), ("FAN", 2), ("GROUP", 3), ("MAX_BUCKETS", 11)):
+        monkeypatch.setattr(ctw, name, n)
+    got = {r.doc_id: r for r in ctw.score_documents(df).collect()}
+    assert set(got) == set(whole)
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (whole[i].n_tokens, whole[i].n_known, whole[i].train_tokens)
+        assert abs(r.score - whole[i].score) < 1e-5 and abs(r.base_score - whole[i].base_score) < 1e-9
+        size = len(b" ".join(ctw.lower_words(texts[i]))) + 1
+        assert abs(r.bits_per_byte + r.score / math.log10(2) / size) < 1e-9
+
+
 def test_lm_probabilities_sum_to_one():
     keys, _ = ctw.context_keys([b"abracadabra", b"a cat"])
     keys, counts = ctw.summed(keys, np.ones(len(keys), dtype=np.int64))
