@@ -32,9 +32,11 @@ from .common import map_texts
 #: Fixed value: the pattern of byte-level BPE that cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of at most so many characters are remembered, in a table that is emptied at so many entries.
-MEMO_CHARS, MEMO_SIZE = 32, 200_000
+MEMO_CHARS, MEMO_SIZE = 32, 300_000
 #: Pieces, bytes or ids that are handled at a time; bytes between two looks for stable tokens.
 CHUNK, EMIT_EVERY = 4096, 64
+#: Characters that are cut into pieces at a time, where the next place at which a piece must begin isn't much further on.
+WINDOW = 1 << 14
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -159,7 +161,7 @@ class Transducer:
                 while True:
                     start -= 1
                     token = data[start:end]
-                    known = get(token) if start >= origin else None
+                    known = get(token)
                     if known is None:
                         raise ValueError(f"no token of the vocabulary can end in {data[max(origin, end - 16) : end]!r}")
                     if known >= 0:
@@ -225,7 +227,9 @@ class Codec:
 
         self.merges = Merges(path)
         self._memo = _Memo(Transducer(self.merges))
-        self._find = regex.compile(PATTERN).finditer
+        self._pieces = regex.compile(PATTERN)
+        #: A space between a character that isn't white and a letter begins a piece, whatever stands around it.
+        self._begin = regex.compile(r"(?<=\S) (?=\p{L})")
         special = sorted(self.merges.special, key=len, reverse=True)
         self._split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda s: [s]
         top = max(self.merges.bytes_of) + 1
@@ -245,8 +249,7 @@ class Codec:
             if i % 2:
                 yield self.merges.special[part].to_bytes(4, "little")
                 continue
-            found = self._find(part)
-            while short := [m[0] for m in islice(found, CHUNK)]:
+            for short in self._found(part):
                 if max(map(len, short)) <= MEMO_CHARS:
                     yield b"".join(map(get, short))
                     continue
@@ -258,6 +261,20 @@ class Codec:
                         while packed := array("I", islice(ids, CHUNK)).tobytes():
                             yield packed
 
+    def _found(self, text: str) -> Iterator[list[str]]:
+        """The pieces of text, not very many at a time."""
+        at, size = 0, len(text)
+        while at < size:
+            m = self._begin.search(text, at + WINDOW) if size - at > WINDOW else None
+            end = m.start() if m else size
+            if end - at <= 4 * WINDOW:
+                yield self._pieces.findall(text, at, end)
+            else:
+                some = self._pieces.finditer(text, at, end)
+                while short := [x[0] for x in islice(some, CHUNK)]:
+                    yield short
+            at = end
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.encode_stream(text)), dtype="<u4").tolist()
 

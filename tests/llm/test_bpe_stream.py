@@ -96,6 +96,17 @@ def test_every_piece_goes_through_the_transducer(monkeypatch):
     assert sorted(fed) == sorted({p.encode() for p in regex.findall(bpe.PATTERN, text)})
 
 
+def test_windows_change_no_piece(monkeypatch):
+    import regex
+
+    rng = random.Random(8)
+    for alphabet in ("ab  \n'1.", "é中 s'\t", "a ", "1a"):
+        text = "".join(rng.choice(alphabet) for _ in range(3000))
+        for window in (1, 7, 50, 1 << 14):
+            monkeypatch.setattr(bpe, "WINDOW", window)
+            assert [p for some in CODEC._found(text) for p in some] == regex.findall(bpe.PATTERN, text)
+
+
 def test_memory_is_flat_over_a_long_text():
     """Beside the text itself, a long text, one piece or many, takes no memory in proportion to its length."""
     import tracemalloc
