@@ -32,6 +32,12 @@ def predict(text: Column, probabilities: Column) -> Column:
     return F.struct(F.when(blank, "SAFE").otherwise(label(probabilities)).alias("label"), F.when(blank, 1.0).otherwise(confidence(probabilities)).alias("confidence"))
 
 
+def predict_proba(text: Column, probabilities: Column) -> Column:
+    """The distribution as a struct by LABELS; of a blank or null text, SAFE with certainty."""
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return F.struct(*(F.when(blank, 1.0 if i == 0 else 0.0).otherwise(F.element_at(probabilities, i + 1)).alias(name) for i, name in enumerate(LABELS)))
+
+
 def is_threat(label: Column, confidence: Column, threshold: float = THREAT_CONFIDENCE) -> Column:
     return (label != "SAFE") & (confidence >= threshold)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import risk, rules
 from ..functions.signatures import SignatureSet
 from ..functions.text import normalize, regex_prefix
+from .scan import scan_list, scan_rows
 
 Scorer = Callable[[DataFrame], DataFrame]
 COST_FP, COST_FN = 1.0, 10.0
@@ -44,6 +45,14 @@ class Detector:
         out = out.withColumn("__rule", F.when(~F.col("__hit"), rules.first_name(F.col("__pre"), F.col("__gate"))))
         return out.select(*names, "__hit", "__rule")
 
+    def scan(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """A query result with the injected instructions in its string columns (or those named) replaced, by this detector's signatures."""
+        return scan_rows(df, self.signatures, columns)
+
+    def scan_list(self, df: DataFrame, column: str, key: str) -> DataFrame:
+        """The same for the texts of an array column."""
+        return scan_list(df, column, key, self.signatures)
+
     def check(self, df: DataFrame, column: str, name: str = "verdict") -> DataFrame:
         """df with name: struct<blocked, reason, detail, confidence>."""
         staged = self.cheap_stages(df, column).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), "__hit", "__rule")
