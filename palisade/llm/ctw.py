@@ -21,7 +21,7 @@ an empty table gives no rows; extra columns aren't looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DEPTH, END = 5, 0xFF
-BLOCK_BYTES, BLOCK_ROWS, CHUNK_BYTES = 32_000_000, 500_000, 4 << 20
+BLOCK_BYTES, BLOCK_ROWS, CHUNK_BYTES = 32_000_000, 500_000, 1 << 19
 #: Blocks whose counts are summed at a time, and whose requests are answered at a time.
 FAN, GROUP, MAX_BUCKETS = 16, 64, 4096
 FOLDS, HELD_OUT_FOLD = 10, 0
@@ -75,6 +75,26 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at)
 
 
+class Sums:
+    """Distinct keys with their counts, summed as parts come: what waits is no more than what is summed, or one part."""
+
+    def __init__(self) -> None:
+        self.parts, self.n, self.waits = [], 0, 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waits += len(keys)
+        if self.waits > self.n:
+            self.n, self.waits = len(self.whole()[0]), 0
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts = []
+            self.parts = [summed(keys, counts)]
+        return self.parts[0]
+
+
 def context_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(key, index of its line) of every byte and end symbol; a key has the context, nearest byte first, and the byte itself last."""
     pad = bytes([END]) * DEPTH
@@ -92,7 +112,7 @@ def context_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[own], np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
+def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
     """(index of the first, words, joined lines) of runs of texts of about CHUNK_BYTES, 65,536 at most."""
     at, words, lines, size = 0, [], [], 0
     for i, text in enumerate(texts):
@@ -242,16 +262,17 @@ VALUES = "bucket int, keys binary, found binary"
 ANSWER = "block int, bucket int, keys binary, found binary"
 
 
-def _requests(texts: list[str | None], held: list[bool], block: int, buckets: int) -> pa.Table:
+def _requests(texts: pa.ChunkedArray, held: list[bool], block: int, buckets: int) -> pa.Table:
     """What a block asks: its distinct contexts and words with their training counts, by bucket."""
-    found = {True: [], False: []}
-    for at, words, lines in chunks(texts):
+    found = {True: Sums(), False: Sums()}
+    for at, words, lines in chunks(_each(texts)):
         train = ~np.array(held[at : at + len(lines)], dtype=bool)
-        for contexts, (keys, index) in ((True, context_keys(lines)), (False, word_keys(words))):
-            found[contexts].append(summed_fast(keys, train[index.astype(np.int64)]))
+        for contexts in (True, False):
+            keys, index = context_keys(lines) if contexts else word_keys(words)
+            found[contexts].add(*summed_fast(keys, train[index.astype(np.int64)]))
     out = {"block": [], "bucket": [], "keys": [], "counts": []}
-    for contexts, parts in found.items():
-        keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    for contexts, sums in found.items():
+        keys, counts = sums.whole()
         where = bucket_of(keys, buckets, contexts)
         for b in np.unique(where):
             mine = where == b
@@ -262,6 +283,11 @@ def _requests(texts: list[str | None], held: list[bool], block: int, buckets: in
     return pa.table(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
+def _each(texts: pa.ChunkedArray) -> Iterator[str | None]:
+    """The texts one at a time: no second copy of a block."""
+    return (x.as_py() for x in texts)
+
+
 def summed_fast(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the number of times that each is in training."""
     if len(keys) and int(keys.max()) < 1 << 63:
@@ -279,10 +305,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
             yield bucket.as_py(), unpack_keys(keys.as_py()), unpack(counts.as_py(), np.int64)
 
 
-def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    asked = [unpack_keys(k) for k in table.column("keys").to_pylist()]
-    counts = [unpack(c, np.int64) for c in table.column("counts").to_pylist()]
-    return asked, *summed(np.concatenate(asked), np.concatenate(counts))
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a bucket with their counts: rows are unpacked one at a time."""
+    found = Sums()
+    for _, keys, counts in _rows(table.to_batches()):
+        found.add(keys, counts)
+    return found.whole()
 
 
 def score_documents(docs: DataFrame, folds: int = FOLDS, held_out_fold: int = HELD_OUT_FOLD) -> DataFrame:
@@ -294,12 +322,12 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out_fold: int = HE
     dealt = docs.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(table: pa.Table) -> pa.Table:
-        return _requests(table.column("text").to_pylist(), table.column("held_out").to_pylist(), table.column("block")[0].as_py(), buckets)
+        return _requests(table.column("text"), table.column("held_out").to_pylist(), table.column("block")[0].as_py(), buckets)
 
     requests = cut(dealt.groupBy("block").applyInArrow(ask, REQUEST))
 
     def merge(table: pa.Table) -> pa.Table:
-        _, keys, counts = _merged(table)
+        keys, counts = _merged(table)
         first = table.slice(0, 1)
         return pa.table({"bucket": first.column("bucket"), "part": first.column("part"), "keys": pa.array([pack_keys(keys)], pa.binary()), "counts": pa.array([pack(counts)], pa.binary())})
 
@@ -352,7 +380,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out_fold: int = HE
             order = np.argsort(keys)
             tables[contexts] = keys[order], found[order]
         n_tokens, n_known, base, model, sizes = [], [], [], [], []
-        for _, words, lines in chunks(left.column("text").to_pylist()):
+        for _, words, lines in chunks(_each(left.column("text"))):
             n = len(lines)
             sizes += [len(x) + 1 for x in lines]
             keys, index = context_keys(lines)

@@ -269,6 +269,36 @@ def test_lm(docs, none):
     assert ctw.score_documents(none).count() == 0
 
 
+def test_op7_block_is_summed_in_bounded_memory():
+    """Counting a block of many chunks holds little beside its distinct keys: no list of all chunks' keys."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(200)]
+    texts = [pool[i % 200] for i in range(3000)]  # about 7 MB, few distinct contexts
+    tracemalloc.start()
+    asked = ctw._requests(pa.chunked_array([texts]), [False] * len(texts), 0, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    counts = sum(int(ctw.unpack(c.as_py(), np.int64).sum()) for c, b in zip(asked.column("counts"), asked.column("bucket"), strict=True) if b.as_py() < 0)
+    assert counts == 3000 * 401  # words and ends
+
+
+def test_op7_sums_as_parts_come():
+    rng = np.random.default_rng(6)
+    parts = [(np.unique(rng.integers(0, 500, n).astype(np.uint64)), n) for n in (300, 1, 50, 400, 2, 900)]
+    found, want = ctw.Sums(), {}
+    for keys, n in parts:
+        found.add(keys, np.full(len(keys), n, dtype=np.int64))
+        want = {k: want.get(k, 0) + (n if k in set(keys.tolist()) else 0) for k in {*want, *keys.tolist()}}
+        assert found.waits <= found.n
+    keys, counts = found.whole()
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and (np.diff(keys.astype(np.int64)) > 0).all()
+
+
 def naive_ctw(train, line):
     """The mixture by dictionaries and recursion, bit by bit."""
     counts = collections.defaultdict(lambda: [0, 0])
